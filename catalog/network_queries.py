@@ -293,7 +293,7 @@ def _(spark, sf):
 def diff_of(spark, sf):
     def side(flag):
         rows = r.once(spark, sf, f"result flag {flag}", lambda: compute_communication(
-            r.expression(spark, sf, flag), r.cells(spark, sf), r.lr_table(spark, sf), "segment", genes=r.genes(spark, sf), aggregate="mean", min_expr=25.0, condition=flag, check=False).interactions)
+            r.expression(spark, sf, flag), r.cells(spark, sf), r.lr_table(spark, sf), "segment", genes=r.genes(spark, sf), aggregate="mean", min_expr=13.5, condition=flag, check=False).interactions)
         return CommResult(rows, result(spark, sf).groups, condition=flag)
 
     return df.compare_communication(side("R"), side("A"), check=False)
@@ -306,7 +306,7 @@ def _side_sql(flag: str, tag: str) -> list[str]:
         r.expr_sql(flag, f"expr{tag}"),
         body,
         f"cx{tag} AS" + cx.replace("FROM gx g", f"FROM gx{tag} g"),
-        score_sql(name=f"inter{tag}", gate="AND s.expr > 25 AND t.expr > 25").replace("JOIN cx s", f"JOIN cx{tag} s").replace("JOIN cx t", f"JOIN cx{tag} t"),
+        score_sql(name=f"inter{tag}", gate="AND s.expr > 13.5 AND t.expr > 13.5").replace("JOIN cx s", f"JOIN cx{tag} s").replace("JOIN cx t", f"JOIN cx{tag} t"),
     ]
 
 
@@ -356,7 +356,7 @@ def _(spark, sf):
 @query("i5_compare_samples", DIFF + "SELECT pathway, round(SUM(prob_a), 6) AS prob_a, round(SUM(prob_b), 6) AS prob_b FROM md GROUP BY 1")
 def _(spark, sf):
     c = r.cells(spark, sf)
-    out = compare_samples((r.expression(spark, sf, "R"), c), (r.expression(spark, sf, "A"), c), r.lr_table(spark, sf), "segment", label_a="R", label_b="A", genes=r.genes(spark, sf), aggregate="mean", min_expr=25.0, check=False)
+    out = compare_samples((r.expression(spark, sf, "R"), c), (r.expression(spark, sf, "A"), c), r.lr_table(spark, sf), "segment", label_a="R", label_b="A", genes=r.genes(spark, sf), aggregate="mean", min_expr=13.5, check=False)
     return out.pathway_changes.select("pathway", "prob_a", "prob_b")
 
 
