@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("group_queries", "score_queries", "network_queries", "resource_queries", "spatial_queries")
+MODULES = ("group_queries", "score_queries", "network_queries", "resource_queries", "spatial_queries", "predict_queries", "job_queries")
 
 
 def all_queries() -> dict:

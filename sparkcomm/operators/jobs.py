@@ -377,15 +377,17 @@ def parity_metrics(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str =
     differences, overlap of the largest values."""
     x = a.select(*keys, F.col(value).cast("double").alias("x"))
     y = b.select(*keys, F.col(value).cast("double").alias("y"))
-    both = materialize(x.join(y, list(keys), "full_outer").fillna(0.0, ["x", "y"]))
+    both = x.join(y, list(keys), "full_outer").fillna(0.0, ["x", "y"])
+    # sums that differ in the last bits only are ties
+    both = materialize(both.withColumns({"_rx": F.round("x", 9), "_ry": F.round("y", 9)}))
     ranked = both
-    for c in ("x", "y"):
+    for c in ("_rx", "_ry"):
         ties = both.groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
         r = running_totals(ties, [], [F.col(c)], value_bucket(F.col(c)), {"_b": F.col("_c")})
-        ranked = ranked.join(r.select(c, (F.col("_b") + (F.col("_c") + 1) / 2).alias(f"r{c}")), c)
+        ranked = ranked.join(r.select(c, (F.col("_b") + (F.col("_c") + 1) / 2).alias(f"rank{c}")), c)
     gap = F.abs(F.col("x") - F.col("y"))
     stats = ranked.agg(
-        F.count(F.lit(1)).alias("n_values"), F.corr("x", "y").alias("_p"), F.corr("rx", "ry").alias("_s"), F.max(gap).alias("max_abs_diff"),
+        F.count(F.lit(1)).alias("n_values"), F.corr("x", "y").alias("_p"), F.corr("rank_rx", "rank_ry").alias("_s"), F.max(gap).alias("max_abs_diff"),
         F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy"), F.max(gap - 1e-8 - 1e-5 * F.abs("y")).alias("_close"),
     )
     mid = quantiles(both.withColumn("_gap", gap), [], "_gap", [0.5])
