@@ -57,7 +57,7 @@ def _c(i: int) -> str:
 
 EMB = f"""emb AS (SELECT CAST(vec_id AS VARCHAR) AS g, CAST(embedding AS DOUBLE[]) AS e, label, {_c(1)} AS l, {_c(2)} AS rr, {_c(3)} AS sec, {_c(4)} AS mem FROM embeddings),
 fr AS (SELECT CAST(l_partkey AS VARCHAR) AS g, COUNT(DISTINCT l_orderkey) / (SELECT COUNT(*) * 1.0 FROM orders) AS f FROM lineitem GROUP BY 1),
-rt AS (SELECT emb.*, f FROM emb JOIN fr USING (g) WHERE f >= 0.001),
+rt AS (SELECT emb.*, f FROM emb JOIN fr USING (g) WHERE f >= 0.00001),
 lig AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY l DESC, f DESC, g) AS p FROM rt WHERE l >= 0.5) WHERE p <= 60),
 rec AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY rr DESC, f DESC, g) AS p FROM rt WHERE rr >= 0.5) WHERE p <= 80)"""
 CROSS = """cx AS (SELECT a.g AS ligand_gene, b.g AS receptor_gene, a.l AS ligand_role_score, b.rr AS receptor_role_score, b.mem AS receptor_membrane_like_score, a.f AS ligand_expression_fraction FROM lig a JOIN rec b ON a.g <> b.g
@@ -67,7 +67,7 @@ nt AS (SELECT ligand_gene, receptor_gene, cos FROM nn WHERE p <= 5 AND ligand_ge
 
 
 def _tops(spark, sf):
-    table = r.once(spark, sf, "role table", lambda: ca.role_table(roles_(spark, sf), roles_(spark, sf), ca.expressed_gene_fractions(part_expression(spark, sf), part_cells(spark, sf)), 0.001))
+    table = r.once(spark, sf, "role table", lambda: ca.role_table(roles_(spark, sf), roles_(spark, sf), ca.expressed_gene_fractions(part_expression(spark, sf), part_cells(spark, sf)), 0.00001))
     lig = r.once(spark, sf, "top ligands", lambda: ca.top_candidates(table, "ligand", 60, role_min=0.5))
     rec = r.once(spark, sf, "top receptors", lambda: ca.top_candidates(table, "receptor", 80, role_min=0.5))
     return lig, rec
@@ -98,7 +98,7 @@ def _(spark, sf):
 
 def candidates(spark, sf):
     return r.once(spark, sf, "candidates", lambda: ca.generate_lr_candidates(
-        part_expression(spark, sf), part_cells(spark, sf), roles_(spark, sf), roles_(spark, sf), embeddings=embeddings(spark, sf), expression_min_fraction=0.001, ligand_role_min=0.5, receptor_role_min=0.5,
+        part_expression(spark, sf), part_cells(spark, sf), roles_(spark, sf), roles_(spark, sf), embeddings=embeddings(spark, sf), expression_min_fraction=0.00001, ligand_role_min=0.5, receptor_role_min=0.5,
         max_ligands=60, max_receptors=80, max_candidate_pairs=1650, nearest_neighbor_pairs=150, nearest_neighbors_per_ligand=5))
 
 
@@ -179,7 +179,7 @@ def _(spark, sf):
     table = predict_lr_dbfree(
         part_expression(spark, sf), part_cells(spark, sf), roles_(spark, sf), embeddings(spark, sf), role_models=None, allow_fixture_models=True,
         ligand_candidates=roles_(spark, sf).where("ligand_like_score >= 0.6").select("gene_id"), receptor_candidates=roles_(spark, sf).where("receptor_like_score >= 0.6").select("gene_id"),
-        density_prior=0.1, expression_min_fraction=0.0005, max_ligands=40, max_receptors=40, max_candidate_pairs=1600)
+        density_prior=0.1, expression_min_fraction=0.00001, max_ligands=40, max_receptors=40, max_candidate_pairs=1600)
     return table.interactions.select("ligand", "receptor", "model_score", "density_rank", "warning")
 
 

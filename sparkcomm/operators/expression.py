@@ -146,6 +146,13 @@ def group_expression(
         measured = F.sum(F.least("value", F.coalesce("cap", F.lit(0.0))))
     else:
         measured = F.sum("value")
+    totals = sizes.select(*cell, F.col("n_cells").alias("n"))
+    if aggregate in ("median", "tri_mean"):
+        # two passes: bucket counts (which also give the detected share), then the wanted buckets
+        probs = [0.5] if aggregate == "median" else [0.25, 0.5, 0.75]
+        q = quantiles(nz, keys, "value", probs, totals=totals, counts=True)
+        expr = F.col("q0") if aggregate == "median" else (F.col("q0") + 2 * F.col("q1") + F.col("q2")) / 4
+        return q.select(*keys, expr.alias("expr"), (F.col("n_positive") / F.col("n")).alias("pct"))
     base = nz.groupBy(*keys).agg(measured.alias("_sum"), F.count(F.lit(1)).alias("_nnz"), F.count_if(F.col("value") > 0).alias("_pos"))
     base = base.join(sizes.select(*cell, "n_cells"), cell)
     mean = F.col("_sum") / F.col("n_cells")
@@ -157,13 +164,6 @@ def group_expression(
         gated = F.when(share > 0, mean / share * detection_weight(share)).otherwise(0.0)
         return base.select(*keys, gated.alias("expr"), pct)
 
-    totals = base.select(*keys, F.col("n_cells").alias("n"))
-    if aggregate in ("median", "tri_mean"):
-        probs = [0.5] if aggregate == "median" else [0.25, 0.5, 0.75]
-        q = quantiles(nz, keys, "value", probs, totals=totals)
-        expr = F.col("q0") if aggregate == "median" else (F.col("q0") + 2 * F.col("q1") + F.col("q2")) / 4
-        return base.join(q, keys).select(*keys, expr.alias("expr"), pct)
-
     # truncated mean: the values at both cuts, then one more pass of plain sums
     share = F.floor(F.col("n_cells") * F.lit(float(trim)))
     sized = base.withColumn("_cut", F.when((share > 0) & (F.col("n_cells") - 2 * share > 0), share))
@@ -209,7 +209,7 @@ def complex_expression(
     """
     if aggregate not in ("min", "geometric_mean"):
         raise ValueError("`complex_aggregate` must be `min` or `geometric_mean`.")
-    joined = summary.withColumnRenamed(gene, "gene_key").join(broadcast_within(subunits), "gene_key")
+    joined = summary.withColumnRenamed(gene, "gene_key").join(subunits, "gene_key")
     positive = F.when(F.col("expr") > 0, F.col("expr"))
     geometric = F.when(F.first("n_subunits") == 1, F.min("expr")).when(F.min("expr") > 0, F.exp(F.avg(F.log(positive)))).otherwise(0.0)
     out = joined.groupBy(*by, "group", "complex").agg(
@@ -229,7 +229,7 @@ def cofactor_products(
     Genes that are not measured have value 0, for which every factor is 1; so are absent rows.
     """
     parts = complex_subunits(lr, [column])
-    joined = summary.withColumnRenamed(gene, "gene_key").join(broadcast_within(parts), "gene_key")
+    joined = summary.withColumnRenamed(gene, "gene_key").join(parts, "gene_key")
     return joined.groupBy(*by, "group", F.col("complex").alias(column)).agg(F.product(factor).alias("f"))
 
 

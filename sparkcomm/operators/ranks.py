@@ -117,28 +117,34 @@ def values_at(
     weight: str | None = None,
     totals: DataFrame | None = None,
     bucket: Column | None = None,
+    counts: bool = False,
 ) -> DataFrame:
     """Exact values at (fractional, linearly interpolated) 0-based positions, as ``q0, q1, ...``.
 
-    ``positions`` maps the row count of a key to the wanted places. ``totals`` (keys and ``n``)
-    states row counts that include zeros missing from ``rows``. Pass one counts buckets with a
+    ``positions`` maps the row count of a key to the wanted places. ``totals`` (some of the keys,
+    and ``n``) states row counts that include zeros missing from ``rows``. ``counts`` adds the
+    columns ``n`` and ``n_positive`` (default bucket only). Pass one counts buckets with a
     map-side aggregate; pass two reads only the buckets that hold a wanted place.
     """
     if not keys:
         tot = totals.withColumn("_all", F.lit(0)) if totals is not None else None
         flat = rows.withColumn("_all", F.lit(0))
-        return values_at(flat, ["_all"], value, positions, weight=weight, totals=tot, bucket=bucket).drop("_all")
+        return values_at(flat, ["_all"], value, positions, weight=weight, totals=tot, bucket=bucket, counts=counts).drop("_all")
     keys = list(keys)
     size = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     work = rows.select(*keys, F.col(value).alias("_v"), size.alias("_n"), (bucket if bucket is not None else value_bucket(F.col(value))).alias("_b"))
     work = work.where("_n > 0")
     hist = work.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     if totals is not None:
-        seen = hist.groupBy(*keys).agg(F.sum("_n").alias("_s")).join(totals.select(*keys, "n"), keys)
+        stated = [k for k in keys if k in totals.columns]
+        seen = hist.groupBy(*keys).agg(F.sum("_n").alias("_s")).join(totals.select(*stated, "n"), stated)
         hist = hist.unionByName(seen.select(*keys, F.lit(0).alias("_b"), (F.col("n") - F.col("_s")).alias("_n")).where("_n > 0"))
         hist = hist.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_end", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    whole = Window.partitionBy(*keys)
+    hist = hist.withColumns(
+        {"_end": F.sum("_n").over(upto), "_total": F.sum("_n").over(whole), "_positive": F.sum(F.when(F.col("_b") > 0, F.col("_n")).otherwise(0)).over(whole)}
+    )
     spots = []
     for i, place in enumerate(positions(F.col("_total"))):
         spots.append(F.struct(F.lit(i).alias("i"), F.lit(0).alias("hi"), F.floor(place).alias("rank"), (place - F.floor(place)).alias("frac")))
@@ -146,26 +152,30 @@ def values_at(
     start = F.col("_end") - F.col("_n")
     here = F.filter(F.array(*spots), lambda s: (s["rank"] >= start) & (s["rank"] < F.col("_end")))
     local = F.transform(here, lambda s: F.struct(s["i"].alias("i"), s["hi"].alias("hi"), (s["rank"] - start).alias("rank"), s["frac"].alias("frac")))
-    hits = materialize(hist.select(*keys, "_b", local.alias("_spots")).where(F.size("_spots") > 0))
-    cand = work.join(hits, [*keys, "_b"])
+    kept = ["_total", "_positive"] if counts else []
+    hits = materialize(hist.select(*keys, "_b", *kept, local.alias("_spots")).where(F.size("_spots") > 0))
+    # a few rows per key: broadcast while that is checked to be small, so the rows stay put
+    cand = work.join(broadcast_within(hits, 1_000_000), [*keys, "_b"])
     if totals is not None:
         # bucket 0 holds only zeros, and those were never stored
         cand = cand.where("_b <> 0")
-        at_zero = hits.where("_b = 0").select(*keys, F.explode("_spots").alias("_p"), F.lit(0.0).alias("_v"))
-    cand = cand.groupBy(*keys, "_b", "_v").agg(F.sum("_n").alias("_n"), F.first("_spots").alias("_spots"))
+        at_zero = hits.where("_b = 0").select(*keys, *kept, F.explode("_spots").alias("_p"), F.lit(0.0).alias("_v"))
+    cand = cand.groupBy(*keys, "_b", "_v").agg(F.sum("_n").alias("_n"), *[F.first(c).alias(c) for c in (*kept, "_spots")])
     w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cand = cand.withColumn("_e", F.sum("_n").over(w))
     inside = F.filter("_spots", lambda s: (s["rank"] >= F.col("_e") - F.col("_n")) & (s["rank"] < F.col("_e")))
-    found = cand.select(*keys, F.explode(inside).alias("_p"), "_v")
+    found = cand.select(*keys, *kept, F.explode(inside).alias("_p"), "_v")
     if totals is not None:
         found = found.unionByName(at_zero)
     n_places = len(spots) // 2
     ends = found.groupBy(*keys).agg(
         *[F.max(F.when((F.col("_p.i") == i) & (F.col("_p.hi") == h), F.col("_v"))).alias(f"_q{i}_{h}") for i in range(n_places) for h in (0, 1)],
         *[F.max(F.when(F.col("_p.i") == i, F.col("_p.frac"))).alias(f"_f{i}") for i in range(n_places)],
+        *[F.max(c).alias(c) for c in kept],
     )
     lo = lambda i: F.col(f"_q{i}_0")
-    return ends.select(*keys, *[(lo(i) + F.col(f"_f{i}") * (F.col(f"_q{i}_1") - lo(i))).alias(f"q{i}") for i in range(n_places)])
+    named = [F.col("_total").alias("n"), F.col("_positive").alias("n_positive")] if counts else []
+    return ends.select(*keys, *named, *[(lo(i) + F.col(f"_f{i}") * (F.col(f"_q{i}_1") - lo(i))).alias(f"q{i}") for i in range(n_places)])
 
 
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], **options) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .expression import cofactor_products, complex_expression
 from .lr_table import complex_subunits, metadata_columns
 from .markers import complexes_in_sets
@@ -43,13 +44,6 @@ def antagonist_factor(value: Column, kh: float, hill: float) -> Column:
     return k / (k + F.pow(value, F.lit(float(hill))))
 
 
-def _with_factor(side: DataFrame, factors: DataFrame | None, column: str, by: Sequence[str], name: str) -> DataFrame:
-    if factors is None:
-        return side.withColumn(name, F.lit(1.0))
-    on = [*by, "group", column]
-    return side.join(factors.withColumnRenamed("f", name), on, "left").fillna(1.0, [name])
-
-
 def score_lr(
     lr: DataFrame,
     summary: DataFrame,
@@ -71,8 +65,8 @@ def score_lr(
     """Scored rows, finite and positive, without p-values.
 
     ``summary`` is ``(by, group, gene_key, expr, pct)``; ``overexpressed`` is
-    ``(group, gene_key)``. Both gates run on each side before the source x target join,
-    which is an equi join on the LR row.
+    ``(group, gene_key)``. The gates run on each side below the joins, which are equi joins of
+    the LR rows with the complex values of either end.
     """
     if score_method not in SCORE_METHODS:
         raise ValueError(f"`score_method` must be one of: {', '.join(sorted(SCORE_METHODS))}.")
@@ -95,40 +89,45 @@ def score_lr(
         factors = {c: cofactor_products(summary, lr, c, f, by=by) if c in lr.columns else None for c, f in formulas.items()}
 
     extra = metadata_columns(lr)
-    lr_rows = lr.select("ligand", "receptor", "pathway", (F.col("annotation") if "annotation" in lr.columns else F.lit("").alias("annotation")), *extra)
-    key = ["ligand", "receptor", "pathway"]
-
-    def side(column: str) -> DataFrame:
-        return lr_rows.join(values.where(F.col("pct") >= min_pct), F.col(column) == F.col("complex")).drop("complex")
-
-    def fill(df: DataFrame, column: str, name: str) -> DataFrame:
-        return _with_factor(df, factors[column], column, by, name)
-
-    source, target = side("ligand").where(F.col("expr") > min_expr), side("receptor")
-    target = target.withColumn("score_expr", F.col("expr"))
-    source = source.withColumn("m", F.lit(1.0))
-    target = target.withColumn("m", F.lit(1.0))
+    annotation = F.col("annotation") if "annotation" in lr.columns else F.lit("").alias("annotation")
+    rows = lr.select("ligand", "receptor", "pathway", annotation, *extra)
+    # used at both ends
+    values = materialize(values.where(F.col("pct") >= min_pct))
+    source = values.where(F.col("expr") > min_expr).select(
+        *by, F.col("group").alias("source"), F.col("complex").alias("ligand"), F.col("expr").alias("ligand_expr"), F.col("pct").alias("ligand_pct")
+    )
+    target = values.select(*by, F.col("group").alias("target"), F.col("complex").alias("receptor"), F.col("expr").alias("receptor_expr"), F.col("pct").alias("receptor_pct"))
+    adjusted = F.col("receptor_expr")
+    multiplier = F.lit(1.0)
+    if not (cofactor_adjust and hill_mode):
+        target = target.where(F.col("receptor_expr") > min_expr)
+    pairs = rows.join(source, "ligand").join(target, [*by, "receptor"])
     if cofactor_adjust:
-        target = fill(fill(target, "co_A_receptor_genes", "_ca"), "co_I_receptor_genes", "_ci")
-        source = fill(fill(source, "agonist_genes", "_ag"), "antagonist_genes", "_an").withColumn("m", F.col("_ag") * F.col("_an"))
+
+        def factor(df: DataFrame, end: str, column: str) -> DataFrame:
+            f = factors[column]
+            name = f"_{end}_{column}"
+            if f is None:
+                return df.withColumn(name, F.lit(1.0))
+            named = f.select(*by, F.col("group").alias(end), column, F.col("f").alias(name))
+            return df.join(named, [*by, end, column], "left").fillna(1.0, [name])
+
+        ends = {c: "source" for c in ("agonist_genes", "antagonist_genes")} | {c: "target" for c in ("co_A_receptor_genes", "co_I_receptor_genes")}
+        for column, end in ends.items():
+            pairs = factor(pairs, end, column)
+        co = F.col("_target_co_A_receptor_genes") / F.col("_target_co_I_receptor_genes")
+        multiplier = F.col("_source_agonist_genes") * F.col("_source_antagonist_genes")
         if hill_mode:
             # co-receptors change the receptor signal; agonists and antagonists act at both ends
-            target = fill(fill(target, "agonist_genes", "_ag"), "antagonist_genes", "_an")
-            target = target.withColumn("score_expr", F.col("expr") * F.col("_ca") / F.col("_ci"))
-            target = target.withColumn("m", F.col("_ag") * F.col("_an"))
+            for column in ("agonist_genes", "antagonist_genes"):
+                pairs = factor(pairs, "target", column)
+            multiplier = multiplier * F.col("_target_agonist_genes") * F.col("_target_antagonist_genes")
+            adjusted = adjusted * co
+            pairs = pairs.where(adjusted > min_expr)
         else:
-            target = target.withColumn("m", F.col("_ca") / F.col("_ci"))
-    target = target.where(F.col("score_expr") > min_expr)
-
-    s = source.select(
-        *by, *key, "annotation", *extra, F.col("group").alias("source"), F.col("expr").alias("ligand_expr"), F.col("pct").alias("ligand_pct"), F.col("m").alias("_ms")
-    )
-    t = target.select(
-        *by, *key, F.col("group").alias("target"), F.col("expr").alias("receptor_expr"), F.col("pct").alias("receptor_pct"), "score_expr", F.col("m").alias("_mt")
-    )
-    pairs = s.join(t, [*by, *key])
-    prob = hill_score(F.col("ligand_expr"), F.col("score_expr"), kh, hill) if hill_mode else sqrt_score(F.col("ligand_expr"), F.col("score_expr"))
-    prob = prob * F.col("_ms") * F.col("_mt")
+            multiplier = multiplier * co
+    ligand = F.col("ligand_expr")
+    prob = (hill_score(ligand, adjusted, kh, hill) if hill_mode else sqrt_score(ligand, adjusted)) * multiplier
     if weights is not None:
         for end in ("source", "target"):
             w = weights.select(*weights_by, F.col("group").alias(end), F.col("weight").alias(f"_w_{end}"))

@@ -176,7 +176,7 @@ def compute_communication(
         )
         return score_lr(
             lr,
-            materialize(summary),
+            materialize(summary) if cofactor_adjust else summary,
             by=keys,
             min_pct=min_pct,
             min_expr=min_expr,
