@@ -96,7 +96,7 @@ def _(spark, sf):
     return su.compute_pathway_communication(result(spark, sf))
 
 
-@query("g6_matrix_edges", BASE + "SELECT source, target, round(SUM(prob), 6) AS weight FROM inter GROUP BY 1, 2 ORDER BY SUM(prob) DESC LIMIT 10")
+@query("g6_matrix_edges", BASE + "SELECT source, target, round(SUM(prob), 6) AS weight FROM inter GROUP BY 1, 2 ORDER BY round(SUM(prob), 9) DESC, source, target LIMIT 10")
 def _(spark, sf):
     return su.matrix_edges(result(spark, sf).network(), 10)
 
@@ -109,9 +109,9 @@ def _(spark, sf):
 
 @query("g8_top_interactions", BASE + f"""
 , lab AS (SELECT *, {LABEL} AS interaction, source || ' -> ' || target AS pair FROM inter),
-k1 AS (SELECT interaction FROM lab GROUP BY 1 ORDER BY SUM(prob) DESC, interaction LIMIT 12),
+k1 AS (SELECT interaction FROM lab GROUP BY 1 ORDER BY round(SUM(prob), 9) DESC, interaction LIMIT 12),
 l2 AS (SELECT * FROM lab WHERE interaction IN (SELECT interaction FROM k1)),
-k2 AS (SELECT pair FROM l2 GROUP BY 1 ORDER BY SUM(prob) DESC, pair LIMIT 6)
+k2 AS (SELECT pair FROM l2 GROUP BY 1 ORDER BY round(SUM(prob), 9) DESC, pair LIMIT 6)
 SELECT interaction, pair, round(prob, 6) AS prob FROM l2 WHERE pair IN (SELECT pair FROM k2)""")
 def _(spark, sf):
     return su.top_interactions(result(spark, sf).interactions, top_n=12, top_pairs=6).select("interaction", "pair", "prob")
@@ -124,7 +124,7 @@ def _(spark, sf):
 
 @query("g10_lr_contribution", BASE + f"""
 , t AS (SELECT pathway, {LABEL} AS interaction, SUM(prob) AS prob FROM inter GROUP BY 1, 2),
-k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pathway ORDER BY prob DESC, interaction) AS rn FROM t)
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pathway ORDER BY round(prob, 9) DESC, interaction) AS rn FROM t)
 SELECT pathway, interaction, round(prob, 6) AS prob, round(prob / SUM(prob) OVER (PARTITION BY pathway), 6) AS contribution FROM k WHERE rn <= 5""")
 def _(spark, sf):
     return su.lr_contribution(result(spark, sf), top_n=5)
@@ -133,21 +133,21 @@ def _(spark, sf):
 @query("g11_pathway_flow", BASE + """
 , e AS (SELECT source AS grp, pathway, prob FROM inter UNION ALL SELECT target, pathway, prob FROM inter),
 f AS (SELECT grp, pathway, SUM(prob) AS prob FROM e GROUP BY 1, 2 HAVING SUM(prob) > 5),
-k AS (SELECT pathway FROM f GROUP BY 1 ORDER BY SUM(prob) DESC, pathway LIMIT 3)
+k AS (SELECT pathway FROM f GROUP BY 1 ORDER BY round(SUM(prob), 9) DESC, pathway LIMIT 3)
 SELECT grp AS "group", pathway, round(prob, 6) AS prob FROM f WHERE pathway IN (SELECT pathway FROM k)""")
 def _(spark, sf):
     return su.pathway_flow(result(spark, sf), mode="all", top_n=3, min_prob=5.0)
 
 
 @query("g12_gene_chord", BASE + f"""
-, lab AS (SELECT *, {LABEL} AS feature FROM inter), k AS (SELECT feature FROM lab GROUP BY 1 ORDER BY SUM(prob) DESC, feature LIMIT 8)
+, lab AS (SELECT *, {LABEL} AS feature FROM inter), k AS (SELECT feature FROM lab GROUP BY 1 ORDER BY round(SUM(prob), 9) DESC, feature LIMIT 8)
 SELECT source, target, feature, round(SUM(prob), 6) AS prob, COUNT(*) AS count FROM lab WHERE feature IN (SELECT feature FROM k) GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return su.gene_chord_table(result(spark, sf), top_n=8)
 
 
 @query("g13_individual_interaction", BASE + """
-, k AS (SELECT ligand, receptor, pathway FROM inter WHERE pathway = 'P2' GROUP BY 1, 2, 3 ORDER BY SUM(prob) DESC, 1, 2, 3 LIMIT 1)
+, k AS (SELECT ligand, receptor, pathway FROM inter WHERE pathway = 'P2' GROUP BY 1, 2, 3 ORDER BY round(SUM(prob), 9) DESC, 1, 2, 3 LIMIT 1)
 SELECT source, target, ligand, receptor, round(prob, 6) AS prob FROM inter WHERE (ligand, receptor, pathway) IN (SELECT (ligand, receptor, pathway) FROM k)""")
 def _(spark, sf):
     return su.individual_interaction(result(spark, sf), pathway="P2").select("source", "target", "ligand", "receptor", "prob")
@@ -173,7 +173,7 @@ def _(spark, sf):
 
 
 @query("g17_pathway_pairs", BASE + """
-, lab AS (SELECT *, source || ' -> ' || target AS pair FROM inter), k AS (SELECT pair FROM lab GROUP BY 1 ORDER BY SUM(prob) DESC, pair LIMIT 7)
+, lab AS (SELECT *, source || ' -> ' || target AS pair FROM inter), k AS (SELECT pair FROM lab GROUP BY 1 ORDER BY round(SUM(prob), 9) DESC, pair LIMIT 7)
 SELECT pathway, pair, round(SUM(prob), 6) AS prob FROM lab WHERE pair IN (SELECT pair FROM k) GROUP BY 1, 2""")
 def _(spark, sf):
     return su.pathway_pair_matrix(result(spark, sf), top_pairs=7)
@@ -369,12 +369,12 @@ def _(spark, sf):
 
 
 @query("i7_rank_signaling_compare", DIFF + """SELECT ligand || ' - ' || receptor AS interaction, round(SUM(prob_a), 6) AS prob_a, round(SUM(prob_b), 6) AS prob_b, round(SUM(prob_a) + SUM(prob_b), 6) AS total
-FROM md GROUP BY 1 ORDER BY SUM(prob_a) + SUM(prob_b) DESC LIMIT 25""")
+FROM md GROUP BY 1 ORDER BY round(SUM(prob_a) + SUM(prob_b), 9) DESC, interaction LIMIT 25""")
 def _(spark, sf):
     return df.rank_signaling_compare(diff_of(spark, sf), level="lr", top_n=25)
 
 
-@query("i8_diff_rank", DIFF + "SELECT pathway, round(SUM(d), 6) AS delta_prob FROM md GROUP BY 1 HAVING SUM(d) <> 0 ORDER BY abs(SUM(d)) DESC LIMIT 4")
+@query("i8_diff_rank", DIFF + "SELECT pathway, round(SUM(d), 6) AS delta_prob FROM md GROUP BY 1 HAVING SUM(d) <> 0 ORDER BY round(abs(SUM(d)), 9) DESC, pathway LIMIT 4")
 def _(spark, sf):
     return df.diff_rank(diff_of(spark, sf).pathway_changes, top_n=4).select("pathway", "delta_prob")
 
@@ -384,7 +384,7 @@ def _(spark, sf):
     return df.compare_interactions(diff_of(spark, sf)).withColumn("value", F.round("value", 5))
 
 
-@query("i10_diff_top_pairs", DIFF + """, p AS (SELECT *, source || ' -> ' || target AS pair FROM md), k AS (SELECT pair FROM p GROUP BY 1 ORDER BY SUM(abs(d)) DESC, pair LIMIT 5)
+@query("i10_diff_top_pairs", DIFF + """, p AS (SELECT *, source || ' -> ' || target AS pair FROM md), k AS (SELECT pair FROM p GROUP BY 1 ORDER BY round(SUM(abs(d)), 9) DESC, pair LIMIT 5)
 SELECT pair, ligand, receptor, round(d, 6) AS delta_prob FROM p WHERE pair IN (SELECT pair FROM k)""")
 def _(spark, sf):
     return df.diff_top_pairs(diff_of(spark, sf), 5).select("pair", "ligand", "receptor", "delta_prob")
@@ -483,7 +483,7 @@ def _(spark, sf):
     return pt.rank_pathway_similarity(diff_of(spark, sf))
 
 
-@query("j14_top_loadings", BASE + """, t AS (SELECT source AS grp, pathway, SUM(prob) AS w FROM inter GROUP BY 1, 2), k AS (SELECT pathway FROM t GROUP BY 1 ORDER BY MAX(w) DESC, pathway LIMIT 3)
+@query("j14_top_loadings", BASE + """, t AS (SELECT source AS grp, pathway, SUM(prob) AS w FROM inter GROUP BY 1, 2), k AS (SELECT pathway FROM t GROUP BY 1 ORDER BY round(MAX(w), 9) DESC, pathway LIMIT 3)
 SELECT grp AS pattern, pathway, round(w, 6) AS weight FROM t WHERE pathway IN (SELECT pathway FROM k)""")
 def _(spark, sf):
     flows = su.pathway_flow(result(spark, sf)).select(F.col("group").alias("pattern"), "pathway", F.col("prob").alias("weight"))

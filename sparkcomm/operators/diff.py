@@ -165,7 +165,7 @@ def rank_signaling_compare(diff: DiffResult, *, level: str = "pathway", top_n: i
         raise ValueError("`level` must be 'pathway' or 'lr'.")
     a, b = (s.select(key, F.col("prob").alias(f"prob_{t}")) for s, t in zip(sides, "ab"))
     out = a.join(b, key, "full_outer").fillna(0.0).withColumn("total", F.col("prob_a") + F.col("prob_b"))
-    return out if top_n is None else out.orderBy(F.desc("total"), key).limit(top_n)
+    return out if top_n is None else out.orderBy(F.round("total", 9).desc(), key).limit(top_n)
 
 
 def diff_rank(changes: DataFrame, *, measure: str = "weight", top_n: int = 20, key: Sequence[str] = ("pathway",)) -> DataFrame:
@@ -173,7 +173,7 @@ def diff_rank(changes: DataFrame, *, measure: str = "weight", top_n: int = 20, k
     column = {"weight": "delta_prob", "prob": "delta_prob", "count": "delta_count"}.get(measure)
     if column is None:
         raise ValueError("`measure` must be one of: 'weight', 'prob', or 'count'.")
-    top = changes.where(F.col(column) != 0).orderBy(F.abs(column).desc(), *key).limit(top_n)
+    top = changes.where(F.col(column) != 0).orderBy(F.round(F.abs(column), 9).desc(), *key).limit(top_n)
     return top.orderBy(column, *key)
 
 

@@ -55,7 +55,7 @@ def network_matrix(net: DataFrame, groups: Sequence[str] | None = None) -> DataF
 
 def matrix_edges(net: DataFrame, top_n: int | None = None) -> DataFrame:
     edges = net.where(F.col("value") > 0).select("source", "target", F.col("value").alias("weight"))
-    return edges if top_n is None else edges.orderBy(F.desc("weight"), "source", "target").limit(top_n)
+    return edges if top_n is None else edges.orderBy(F.round("weight", 9).desc(), "source", "target").limit(top_n)
 
 
 def filter_interactions(
@@ -85,7 +85,8 @@ def with_labels(df: DataFrame) -> DataFrame:
 
 def keep_top(df: DataFrame, key: str, top_n: int, value: str | Column = "prob") -> DataFrame:
     """Rows whose key is among the ``top_n`` by summed value (ties by name)."""
-    best = df.groupBy(key).agg(F.sum(value).alias("_total")).orderBy(F.desc("_total"), key).limit(top_n).select(key)
+    # sums that differ in the last bits only are ties, settled by name
+    best = df.groupBy(key).agg(F.round(F.sum(value), 9).alias("_total")).orderBy(F.desc("_total"), key).limit(top_n).select(key)
     return df.join(best, key, "left_semi")
 
 
@@ -108,7 +109,7 @@ def lr_contribution(result: CommResult, *, pathways: Sequence[str] | None = None
     """Top interactions per pathway with their share of the kept total."""
     df = with_labels(filter_interactions(result.rows(significant_only), pathways=pathways))
     totals = df.groupBy("pathway", "interaction").agg(F.sum("prob").alias("prob"))
-    kept = top_per_key(totals, ["pathway"], [F.desc("prob"), F.col("interaction")], top_n)
+    kept = top_per_key(totals, ["pathway"], [F.round("prob", 9).desc(), F.col("interaction")], top_n)
     whole = F.sum("prob").over(Window.partitionBy("pathway"))
     return kept.withColumn("contribution", F.col("prob") / F.when(whole == 0, 1.0).otherwise(whole))
 
@@ -179,7 +180,7 @@ def individual_interaction(
         if keep is not None:
             df = df.where(F.col(column).isin(as_list(keep)))
     keys = ["ligand", "receptor", "pathway"]
-    totals = df.groupBy(*keys, "interaction").agg(F.sum("prob").alias("_total"))
+    totals = df.groupBy(*keys, "interaction").agg(F.round(F.sum("prob"), 9).alias("_total"))
     best = totals.orderBy(F.desc("_total"), *keys).limit(1).select(*keys)
     return df.join(best, keys, "left_semi")
 
