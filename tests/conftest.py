@@ -30,7 +30,7 @@ def matrix(spark):
     def build(values, genes, groups, **extra):
         rows = [(f"c{i}", g, float(v)) for i, row in enumerate(values) for g, v in zip(genes, row) if v != 0]
         expression = spark.createDataFrame(rows, "cell_id string, gene string, value double")
-        cells = [(f"c{i}", g, *[col[i] for col in extra.values()]) for i, g in enumerate(groups)]
+        cells = [(f"c{i}", g, *[v[i] if isinstance(v[i], str) else float(v[i]) for v in extra.values()]) for i, g in enumerate(groups)]
         kinds = ["string" if isinstance(col[0], str) else "double" for col in extra.values()]
         schema = ", ".join(["cell_id string", "cell_type string", *[f"{k} {t}" for k, t in zip(extra, kinds)]])
         return expression, spark.createDataFrame(cells, schema)

@@ -107,7 +107,10 @@ def test_parallel_greedy_equals_the_sequential_pass(spark):
     data = spark.createDataFrame(edges, "model_score double, ligand_gene string, receptor_gene string")
     order = [F.desc("model_score"), F.col("ligand_gene"), F.col("receptor_gene")]
     got = ca.greedy_degree_capped(data, ligand_cap=2, receptor_cap=3, order=order)
-    assert sorted((r["ligand_gene"], r["receptor_gene"]) for r in got.collect()) == sorted(greedy(edges, 2, 3))
+    want = greedy(edges, 2, 3)
+    assert sorted((r["ligand_gene"], r["receptor_gene"]) for r in got.collect()) == sorted(want)
+    few = ca.greedy_degree_capped(data, ligand_cap=2, receptor_cap=3, order=order, enough=4).orderBy(*order).limit(4)
+    assert [(r["ligand_gene"], r["receptor_gene"]) for r in few.collect()] == want[:4]
 
 
 def test_density_target_and_prior(spark):
