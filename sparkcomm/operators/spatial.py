@@ -41,10 +41,16 @@ def _distance() -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def location_pairs(places: DataFrame, reach: float, by: Sequence[str] = (), *, crowd: int = 2000) -> DataFrame:
+def location_pairs(places: DataFrame, reach: float, by: Sequence[str] = (), *, carry: Sequence[str] = (), crowd: int = 2000) -> DataFrame:
     """Ordered pairs ``(by, xa, ya, xb, yb, d)`` of distinct places at most ``reach`` apart, each
-    place with itself included."""
-    spots = places.select(*by, "x", "y").distinct()
+    place with itself included. ``carry`` columns come along with the ending ``a`` or ``b``."""
+    spots = places.select(*by, "x", "y", *carry).distinct()
+    own = lambda end: [F.col(c).alias(f"{c}{end}") for c in carry]
+    if reach <= 0 and carry:
+        left = spots.select(*by, "x", "y", *own("a"))
+        both = left.join(spots.select(*by, "x", "y", *own("b")), [*by, "x", "y"])
+        ends = [F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("x").alias("xb"), F.col("y").alias("yb")]
+        return both.select(*by, *ends, F.lit(0.0).alias("d"), *[f"{c}{e}" for e in "ab" for c in carry])
     if reach <= 0:
         same = spots.select(*by, F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("x").alias("xb"), F.col("y").alias("yb"))
         return same.withColumn("d", F.lit(0.0))
@@ -54,12 +60,12 @@ def location_pairs(places: DataFrame, reach: float, by: Sequence[str] = (), *, c
     # crowded grid cells: their left rows are dealt over salts, right rows go to every salt
     load = gridded.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(crowd))).cast("int").alias("_salts")).where("_salts > 1")
     left = gridded.join(load, cell, "left").withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.coalesce("_salts", F.lit(1))).cast("int"))
-    left = left.select(*cell, "_salt", F.col("x").alias("xa"), F.col("y").alias("ya"))
+    left = left.select(*cell, "_salt", F.col("x").alias("xa"), F.col("y").alias("ya"), *own("a"))
     near = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = gridded.select(*by, F.col("x").alias("xb"), F.col("y").alias("yb"), F.inline(near))
+    right = gridded.select(*by, F.col("x").alias("xb"), F.col("y").alias("yb"), *own("b"), F.inline(near))
     right = right.join(load, cell, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     pairs = left.join(right, [*cell, "_salt"]).withColumn("d", _distance())
-    return pairs.where(F.col("d") <= float(reach)).select(*by, "xa", "ya", "xb", "yb", "d")
+    return pairs.where(F.col("d") <= float(reach)).select(*by, "xa", "ya", "xb", "yb", "d", *[f"{c}{e}" for e in "ab" for c in carry])
 
 
 def kernel_reach(kernel: str, radius: float, sigma: float, tail: float = 1e-12) -> float:
@@ -122,8 +128,15 @@ def spatial_weights(
     parts = []
     for kernel in kernels:
         reach = kernel_reach(kernel, radius, sigma, tail)
-        near = pairs[kernel] if pairs is not None else location_pairs(labelled, reach, by)
-        sums = weight_sums(labelled, near, kernel_value(kernel, F.col("d"), radius, sigma), run, by)
+        value = kernel_value(kernel, F.col("d"), radius, sigma)
+        if pairs is None and run is None:
+            # one labelling: groups and counts travel with the places, so pairs are summed where they form
+            counted = labelled.groupBy(*by, "x", "y", "group").agg(F.count(F.lit(1)).alias("n"))
+            met = location_pairs(counted, reach, by, carry=["group", "n"])
+            sums = met.groupBy(*by, F.col("groupa").alias("source"), F.col("groupb").alias("target")).agg(F.sum(value * F.col("na") * F.col("nb")).alias("_sum"))
+        else:
+            near = pairs[kernel] if pairs is not None else location_pairs(labelled, reach, by)
+            sums = weight_sums(labelled, near, value, run, by)
         w = grid.join(sums, [*keys, "source", "target"], "left")
         weight = F.coalesce("_sum", F.lit(0.0)) / (F.col("_ns") * F.col("_nt"))
         parts.append(w.select(*keys, "source", "target", F.lit(kernel).alias("kernel"), weight.alias("spatial_weight")))
