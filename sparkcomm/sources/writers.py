@@ -113,7 +113,7 @@ def report_tables(report: SpatialReport, context: Mapping[str, object], *, pair_
     tables = {
         "summary": report.summary,
         "celltype_pair_summary": report.celltype_pair_summary if pair_summary else report.celltype_pair_summary.limit(0),
-        "null_distribution": report.null_distribution if null_distribution else report.null_distribution.limit(0),
+        "null_distribution": report.null_distribution if null_distribution or report.null_distribution is None else report.null_distribution.limit(0),
         "top_k_enrichment": report.top_k_enrichment,
         "role_kernel_enrichment": report.role_kernel_enrichment,
         "distance_decay": report.distance_decay,

@@ -5,8 +5,9 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from sparkcomm.model import CommResult
+from sparkcomm.model import CommResult, SpatialReport
 from sparkcomm.operators import lr_table as lt
+from sparkcomm.operators.diff import compare_communication
 from sparkcomm.operators import proteins as pr
 from sparkcomm.operators import resources as rs
 from sparkcomm.sources import readers as rd
@@ -125,3 +126,18 @@ def test_density_prior_file_beside_a_model(spark, tmp_path):
     wr.write_tsv(prior, str(tmp_path / "density_prior"))
     assert rd.resolve_density_input(spark, "auto", str(tmp_path)).first()["density_prior"] == 0.2
     assert rd.resolve_density_input(spark, 0.3, str(tmp_path)) == 0.3
+
+
+def test_merged_export_and_report_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "B", "L", "R", "P", 0.5), ("B", "A", "L", "R", "Q", 0.25)], "source string, target string, ligand string, receptor string, pathway string, prob double")
+    groups = spark.createDataFrame([("A",), ("B",)], "group string")
+    a, b = CommResult(rows, groups), CommResult(rows.where("source = 'A'"), groups)
+    wr.export_bridge_merged(compare_communication(a, b, label_a="new", label_b="old"), str(tmp_path / "m"))
+    read = lambda name: spark.read.csv(str(tmp_path / "m" / name), header=True, sep="\t")
+    assert read("new/interactions").count() == 2 and read("old/interactions").count() == 1
+    assert sorted(r["directory"] for r in read("samples").collect()) == ["new", "old"]
+    assert read("network_delta").count() == 4 and read("diff_pathways").count() == 2
+    one = spark.createDataFrame([(1,)], "k int")
+    report = SpatialReport(one, one, None, None, None, one, None, None)
+    assert wr.write_report_tables(report, str(tmp_path / "r"), {"dataset": "d"}, null_distribution=False) == ["summary", "celltype_pair_summary", "top_k_enrichment"]
+    assert spark.read.csv(str(tmp_path / "r" / "summary"), header=True, sep="\t").first()["dataset"] == "d"
