@@ -8,30 +8,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkcomm.llm.common import ascii_lower, let, words
+from sparkcomm.llm.common import SPACE, let
 from sparkcomm.session import materialize
 
-#: Terms go by the first hexadecimal digits of their SHA-256: 2^20 features, whose lexicon is a bit map of 128 KB.
-DIGITS = 5
+#: Terms go by their md5: its first DIGITS hexadecimal digits are a feature (2^20, whose lexicon is a bit map of 128 KB), the
+#: next one deals the terms over DRAWINGS random lexicons, and the three after that thin each lexicon to the shares LIMITS / 4,096.
+DIGITS, DRAWINGS, LIMITS = 5, 16, ("400", "100", "040", "010")
 #: The band: in at least LEAST documents, and at most one of MOST documents (two in small tables).
 LEAST, MOST = 2, 20
-#: Random lexicons: SEEDS drawings, each thinned in steps from a term in 16 to one in 1,024 (three digits of the SHA-256 each).
-SEEDS, LIMITS = 16, ("100", "080", "040", "020", "010", "008", "004")
 SIZE, NONE = 6, "------"
 
 
 def terms(text: Column) -> Column:
-    """SHA-256 of the distinct lower-cased words; null counts as empty."""
-    return F.transform(F.array_distinct(words(ascii_lower(F.coalesce(text, F.lit(""))))), lambda t: F.sha2(t, 256))
+    """md5 of the distinct lower-case words; null counts as empty."""
+    return F.transform(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)), lambda t: F.md5(t))
+
+
+def in_lexicon(h: Column, limit: str = LIMITS[0]) -> Column:
+    return F.substring(h, DIGITS + 2, 3) < limit
+
+
+def _number(h: Column) -> Column:
+    return F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("int")
 
 
 def lexicon(docs: DataFrame, *, text: str = "text", least: int = LEAST, most: int = MOST) -> Column:
-    """The band of all rows as a constant array of 64-bit words, a bit per feature. At most 16,384 words come to the driver."""
+    """The band of all rows as a constant array of 64-bit words, a bit per feature. At most 16,384 words come to the driver.
+
+    Only terms that some random lexicon may hold are counted.
+    """
     n = docs.count()
-    features = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col(text)), lambda h: F.substring(h, 1, DIGITS)))).alias("f"))
+    number = F.transform(F.filter(terms(F.col(text)), lambda h: in_lexicon(h)), _number)
+    features = docs.select(F.explode(F.array_distinct(number)).alias("f"))
     band = features.groupBy("f").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") <= max(2, n // most)))
-    number = F.conv("f", 16, 10).cast("int")
-    bits = band.groupBy(F.shiftright(number, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63))).alias("bits"))
+    bits = band.groupBy(F.shiftright("f", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("f").bitwiseAND(63))).alias("bits"))
     table = [0] * (16**DIGITS // 64)
     for r in bits.collect():
         table[r["at"]] = r["bits"]
@@ -39,27 +49,28 @@ def lexicon(docs: DataFrame, *, text: str = "text", least: int = LEAST, most: in
 
 
 def fingerprint(text: Column, band: Column) -> Column:
-    """SIZE digits for each lexicon: a hash of the sorted terms it holds, NONE if it holds none.
+    """SIZE digits for each lexicon: a hash of the sorted terms of the text that it holds, NONE if it holds none.
 
     A text none of whose terms is in any lexicon has a hash of all its terms instead.
     """
 
     def known(h: Column) -> Column:
-        number = F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("int")
-        return F.getbit(F.element_at(band, F.shiftright(number, 6) + 1), number.bitwiseAND(63)) == 1
+        return F.getbit(F.element_at(band, F.shiftright(_number(h), 6) + 1), _number(h).bitwiseAND(63)) == 1
 
-    def of_seed(held: Column, seed: int) -> Column:
-        def thinned(limit: str) -> Callable[[Column], Column]:
-            return lambda h: F.substring(h, DIGITS + 1 + 3 * seed, 3) < limit
+    def thinned(limit: str) -> Callable[[Column], Column]:
+        return lambda h: in_lexicon(h, limit)
 
-        return let(F.filter(held, thinned(LIMITS[0])), lambda x: F.concat(*[let(F.filter(x, thinned(limit)), _hash) for limit in LIMITS]))
+    def of_drawing(held: Column, drawing: int) -> Column:
+        mine = F.filter(held, lambda h: F.substring(h, DIGITS + 1, 1) == f"{drawing:x}")
+        each = lambda x: F.concat(*[_hash(x) if limit == LIMITS[0] else let(F.filter(x, thinned(limit)), _hash) for limit in LIMITS])
+        return let(mine, lambda x: F.when(F.size(x) == 0, F.lit(NONE * len(LIMITS))).otherwise(each(x)))
 
     def lexicons(held: Column) -> Column:
-        return F.concat(*[of_seed(held, seed) for seed in range(SEEDS)])
+        return F.concat(*[of_drawing(held, d) for d in range(DRAWINGS)])
 
     def whole(every: Column) -> Column:
-        out = let(F.array_sort(F.filter(every, known)), lexicons)
-        return let(out, lambda x: F.when(x == NONE * SEEDS * len(LIMITS), F.concat(F.lit("all-"), F.md5(F.array_join(F.array_sort(every), "")))).otherwise(x))
+        held = F.array_sort(F.filter(F.filter(every, lambda h: in_lexicon(h)), known))
+        return let(held, lambda x: F.when(F.size(x) == 0, F.concat(F.lit("all-"), F.md5(F.array_join(F.array_sort(every), "")))).otherwise(lexicons(x)))
 
     return let(terms(text), whole)
 
@@ -78,7 +89,7 @@ def likeness(a: Column, b: Column) -> Column:
     def hashes(text: Column, seed: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(len(LIMITS) - 1)), lambda i: F.substring(text, seed * one + i * SIZE + 1, F.lit(SIZE)))
 
-    drawings = F.transform(F.sequence(F.lit(0), F.lit(SEEDS - 1)), lambda s: F.arrays_zip(hashes(a, s).alias("a"), hashes(b, s).alias("b")))
+    drawings = F.transform(F.sequence(F.lit(0), F.lit(DRAWINGS - 1)), lambda s: F.arrays_zip(hashes(a, s).alias("a"), hashes(b, s).alias("b")))
     held = F.filter(drawings, lambda d: F.exists(d, lambda x: (x["a"] != NONE) | (x["b"] != NONE)))
     equal = let(held, lambda d: F.size(F.filter(d, lambda e: F.exists(e, lambda x: (x["a"] == x["b"]) & (x["a"] != NONE)))) / F.size(d))
     return F.when(a == b, F.lit(1.0)).when(a.startswith("all-") | b.startswith("all-"), F.lit(0.0)).otherwise(equal)

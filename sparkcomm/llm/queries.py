@@ -148,26 +148,26 @@ FROM d LEFT JOIN told USING (doc_id)"""
 _LIMITS = ", ".join(f"'{x}'" for x in fingerprints.LIMITS)
 
 
+_TERMS = "list_distinct(string_split_regex(lower(t), '[\\x20\\x09-\\x0D]+'))"
+_THIN = f"substr(h, {fingerprints.DIGITS + 2}, 3)"
+
+
 def _fingerprint_sql(source: str) -> str:
-    """Fingerprint from h, the list of SHA-256 of distinct terms, and held, those in the band, sorted."""
-    part = f"""array_to_string(list_transform(range(0, {fingerprints.SEEDS}), lambda s: array_to_string(list_transform([{_LIMITS}],
-      lambda lim: CASE WHEN len(list_filter(held, lambda h: substr(h, {fingerprints.DIGITS + 1} + 3 * s, 3) < lim)) = 0 THEN '{fingerprints.NONE}'
-        ELSE substr(md5(array_to_string(list_filter(held, lambda h: substr(h, {fingerprints.DIGITS + 1} + 3 * s, 3) < lim), '')), 1, {fingerprints.SIZE}) END), '')), '')"""
-    empty = fingerprints.NONE * fingerprints.SEEDS * len(fingerprints.LIMITS)
-    lower = "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"""SELECT doc_id, CASE WHEN f = '{empty}' THEN 'all-' || md5(array_to_string(every, '')) ELSE f END AS f
-  FROM (SELECT doc_id, every, {part} AS f FROM (
-    SELECT doc_id, coalesce(list(h ORDER BY h) FILTER (h IS NOT NULL), []) AS every, coalesce(list(h ORDER BY h) FILTER (band.f IS NOT NULL), []) AS held
-    FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [NULL] ELSE list_transform(ws, lambda w: sha256(w)) END) AS h
-      FROM (SELECT doc_id, list_distinct(regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+')) AS ws FROM {source}))
-    LEFT JOIN band ON band.f = substr(h, 1, {fingerprints.DIGITS}) GROUP BY doc_id))"""
+    """Fingerprint from every, the sorted md5 of distinct terms, and held, those in the band and the widest lexicon."""
+    mine = f"list_filter(held, lambda h: substr(h, {fingerprints.DIGITS + 1}, 1) = d AND {_THIN} < lim)"
+    part = f"""array_to_string(list_transform(string_split('0123456789abcdef', ''), lambda d: array_to_string(list_transform([{_LIMITS}],
+      lambda lim: CASE WHEN len({mine}) = 0 THEN '{fingerprints.NONE}' ELSE substr(md5(array_to_string({mine}, '')), 1, {fingerprints.SIZE}) END), '')), '')"""
+    return f"""SELECT doc_id, CASE WHEN len(held) = 0 THEN 'all-' || md5(array_to_string(every, '')) ELSE {part} END AS f
+  FROM (SELECT doc_id, list(h ORDER BY h) AS every, coalesce(list(h ORDER BY h) FILTER (band.f IS NOT NULL AND {_THIN} < '{fingerprints.LIMITS[0]}'), []) AS held
+    FROM (SELECT doc_id, unnest(list_transform({_TERMS}, lambda w: md5(w))) AS h FROM {source})
+    LEFT JOIN band ON band.f = substr(h, 1, {fingerprints.DIGITS}) GROUP BY doc_id)"""
 
 
 def _likeness_sql(a: str, b: str) -> str:
     one = fingerprints.SIZE * len(fingerprints.LIMITS)
     at = lambda t: f"substr({t}, s * {one} + i * {fingerprints.SIZE} + 1, {fingerprints.SIZE})"
     levels = f"range(0, {len(fingerprints.LIMITS)})"
-    held = f"list_filter(range(0, {fingerprints.SEEDS}), lambda s: len(list_filter({levels}, lambda i: {at(a)} <> '{fingerprints.NONE}' OR {at(b)} <> '{fingerprints.NONE}')) > 0)"
+    held = f"list_filter(range(0, {fingerprints.DRAWINGS}), lambda s: len(list_filter({levels}, lambda i: {at(a)} <> '{fingerprints.NONE}' OR {at(b)} <> '{fingerprints.NONE}')) > 0)"
     equal = f"list_filter({held}, lambda s: len(list_filter({levels}, lambda i: {at(a)} = {at(b)} AND {at(a)} <> '{fingerprints.NONE}')) > 0)"
     return f"round(CASE WHEN {a} = {b} THEN 1.0 WHEN {a} LIKE 'all-%' OR {b} LIKE 'all-%' THEN 0.0 ELSE CAST(len({equal}) AS DOUBLE) / len({held}) END, 6)"
 
@@ -179,8 +179,7 @@ pairs AS (
   FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 edits AS (SELECT doc_id, next_id, length(t) AS n, substr(t, 1, length(t) - length(t) // 2) || substr(next_t, 1, length(t) // 2) AS t FROM pairs),
 seen AS (
-  SELECT DISTINCT doc_id, substr(sha256(w), 1, {fingerprints.DIGITS}) AS f FROM (
-    SELECT doc_id, unnest(list_distinct(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'))) AS w FROM d)),
+  SELECT DISTINCT doc_id, substr(h, 1, {fingerprints.DIGITS}) AS f FROM (SELECT doc_id, unnest(list_transform({_TERMS}, lambda w: md5(w))) AS h FROM d) WHERE {_THIN} < '{fingerprints.LIMITS[0]}'),
 band AS (SELECT f FROM seen GROUP BY f HAVING count(*) >= {fingerprints.LEAST} AND count(*) <= greatest(2, (SELECT count(*) FROM d) // {fingerprints.MOST})),
 own AS MATERIALIZED ({_fingerprint_sql("d")}),
 new AS MATERIALIZED ({_fingerprint_sql("edits")})
