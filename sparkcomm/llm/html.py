@@ -142,7 +142,7 @@ def suffix_array(tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     kept, h = [rank], 1
     while h < length:
         second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:]
+        second[: max(n - h, 0)] = rank[h:]
         rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64) + 1
         kept.append(rank)
         h *= 2

@@ -43,7 +43,7 @@ MORE = (
 RULES = BASE + MORE
 
 #: Alternatives a rule may have, and characters of a class that are written out; beyond these, less is known of a match.
-ALTERNATIVES, CLASS = 64, 8
+ALTERNATIVES, CLASS = 1_024, 8
 _GAP = None
 
 

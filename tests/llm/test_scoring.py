@@ -1,0 +1,83 @@
+import math
+from collections import Counter
+
+import numpy as np
+from helpers import clashing, crc, empty, lower, odd, odd_rows, prose, words
+
+from sparkcomm.llm import scoring
+
+
+def tokens(text):
+    return [*words(lower(text)), "\n"]
+
+
+def brute_base(texts, train):
+    c = Counter(t for text in train for t in tokens(text))
+    room = sum(c.values()) + 0.1 * (len(c) + 1)
+    return [(len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), sum(math.log10((c[x] + 0.1) / room) for x in tokens(t))) for t in texts]
+
+
+def check(got, table, train):
+    want = sorted((str(r[0]), *x) for r, x in zip(table, brute_base([r[1] for r in table], train), strict=True))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["base_score"]) for r in got)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(math.isclose(a[3], b[3], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_base_scores_equal_brute_force(spark, monkeypatch):
+    table = odd_rows() + [(100 + i, prose(i, 70), "en", "a", 0) for i in range(30)]
+    docs = clashing(spark.createDataFrame(table, odd(spark).schema))
+    train = [r[1] for r in table[:30]]
+    trained = docs.sparkSession.createDataFrame([(t,) for t in train], "text string")
+    check(scoring.score(docs, scoring.train(trained)).collect(), table, train)
+    monkeypatch.setattr(scoring, "MAX_FREQUENT", 20)  # most tokens meet their counts in the join
+    model = scoring.train(trained)
+    assert len(model.frequent[0]) <= 20
+    check(scoring.score(docs, model).collect(), table, train)
+    none = scoring.train(empty(spark))
+    got = scoring.score(docs, none).collect()
+    assert none.tokens == 0 and all(r["n_known"] == 0 and abs(r["base_score"]) < 1e-9 and math.isfinite(r["score"]) for r in got)
+    assert scoring.score(empty(spark), model).count() == 0
+
+
+def test_filter_never_reads_less_than_was_put_in(spark):
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(2**63), 2**63, 20_000)
+    level = rng.integers(1, 12, len(h)).astype(np.int32)
+    import pandas as pd
+
+    items = spark.createDataFrame(pd.DataFrame({"h": h, "level": level})).repartition(5)
+    segments = int(level.sum() * scoring.BITS_PER_LEVEL / scoring.SEGMENT) + 1
+    f = scoring.build_filter(items, segments)
+    read = f.levels(h.view(np.uint64))
+    assert (read >= level).all() and (read > level).mean() < 0.1
+    other = f.levels(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
+    assert (other > 0).mean() < 0.1
+
+
+def test_filter_keeps_to_its_bound(spark):
+    docs = spark.createDataFrame([(prose(i, 300, 5000),) for i in range(40)], "text string")
+    small = scoring.train(docs, max_filter_bytes=16 << 10)
+    assert small.filter.bits.nbytes <= (16 << 10) + scoring.SEGMENT // 8
+    assert small.tokens == scoring.train(docs).tokens
+
+
+def test_held_out_texts_score_better_than_the_base(spark):
+    from sparkcomm.llm import queries
+
+    got = queries.op7(spark, "/root/testdata/sf0.01").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    train = [r.text for r in docs.itertuples() if crc(r.doc_id) % 10 != 0]
+    want = dict(zip(docs["doc_id"], brute_base(docs["text"], train), strict=True))
+    assert all(math.isclose(r.base_score, want[r.doc_id][2], rel_tol=1e-9) and r.n_known == want[r.doc_id][1] for r in got.itertuples())
+    held = got[got["held_out"]]
+    assert held["score"].sum() > held["base_score"].sum()
+    assert (got["train_tokens"] == sum(len(tokens(t)) for t in train)).all()
+
+
+def test_estimates_lie_in_their_levels():
+    for n in (1, 2, 3, 7, 100, 12_345, 10**9):
+        level = int(math.floor(math.log(n) / math.log(scoring.BASE) + 1e-9)) + 1
+        got = float(scoring.estimate(np.array([level]))[0])
+        assert n / scoring.BASE <= got <= n * scoring.BASE
+    assert scoring.estimate(np.array([0]))[0] == 0
