@@ -160,7 +160,8 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     sizes = families.groupBy("root").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = families.join(sizes, "root").select("node", "root", blocks.alias("blocks"), F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(0).cast("int").alias("block"))
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(members, "node")
+    # by shuffle at every size: the members grow with the documents
+    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(members.hint("merge"), "node")
     meetings = texts.select("node", "t", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     meetings = meetings.select("node", "t", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
