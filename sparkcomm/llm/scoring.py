@@ -26,7 +26,9 @@ MAX_FREQUENT = 1 << 18
 #: Weight, in tokens, of the unigram estimate in a word pair's probability; pairs seen less often are not kept.
 PRIOR, MIN_PAIRS = 200.0, 2
 #: Pairs gathered in a task before they are added up.
-FLUSH = 6_000_000
+FLUSH = 2_000_000
+#: Words whose hashes a worker keeps.
+HASHES = 200_000
 
 _U = np.uint64
 END = xxhash.xxh3_64_intdigest(b"\n")
@@ -47,7 +49,7 @@ class Hashes(dict):
     """64-bit hashes by word; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > HASHES:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -217,8 +219,8 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
         (known, count), segments, bits = shared.value
         probe = Filter(segments, bits).levels
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, whole.num_rows, 250):
+                batch = whole.slice(start, 250)
                 parts = [token_hashes(t) for t in batch.column(2).to_pylist()]
                 sizes = np.array([len(p) for p in parts])
                 tokens = np.concatenate(parts)
