@@ -21,14 +21,16 @@ LONG_TEXT = 1 << 20
 
 
 class RankQueue:
-    """Smallest rank first: a bucket of positions per rank, found by find-first-set on three levels of 64-bit words."""
+    """Smallest rank first: a bucket of positions per rank; two levels of 256-bit words tell which ranks have one.
 
-    __slots__ = ("buckets", "leaf", "mid", "top")
+    Find-first-set on the upper word and then on a lower one gives the least rank.
+    """
+
+    __slots__ = ("buckets", "low", "top")
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.leaf: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
+        self.low: dict[int, int] = {}
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
@@ -37,66 +39,86 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.leaf[a] = self.leaf.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
+        a = rank >> 8
+        self.low[a] = self.low.get(a, 0) | 1 << (rank & 255)
+        self.top |= 1 << a
 
-    def pop(self) -> tuple[int, int] | None:
-        """The leftmost position of the smallest rank."""
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The smallest rank and its bucket, a heap of positions."""
         if not self.top:
             return None
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = (b << 6) + (word & -word).bit_length() - 1
-        word = self.leaf[a]
-        rank = (a << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[a] &= ~(1 << (rank & 63))
-            if not self.leaf[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, position
+        a = (self.top & -self.top).bit_length() - 1
+        word = self.low[a]
+        bit = word & -word
+        if word == bit:
+            del self.low[a]
+            self.top ^= 1 << a
+        else:
+            self.low[a] = word ^ bit
+        rank = (a << 8) + bit.bit_length() - 1
+        return rank, self.buckets.pop(rank)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token. Parts form a linked list over byte offsets; a queue entry whose pair has changed since is stale."""
-    whole = ranks.get(piece)
+    """Ids of one pre-token.
+
+    Parts form a linked list over byte offsets. ``pair`` has the rank of each part with the one after it, so a queue entry
+    whose pair has changed since is known as stale. A bucket is worked off from the left; it goes back to the
+    queue if a merge brings up a smaller rank, and pairs of its own rank join it.
+    """
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    queue, rank_of = RankQueue(), ranks.get
-
-    def look(i: int) -> None:
-        j = after[i]
-        if j < n:
-            rank = rank_of(piece[i : end[j]])
-            if rank is not None:
-                queue.push(rank, i)
-
-    for i in range(n - 1):
-        look(i)
-    while (entry := queue.pop()) is not None:
-        rank, i = entry
-        j = after[i]
-        if end[i] == 0 or j >= n or rank_of(piece[i : end[j]]) != rank:
-            continue
-        end[i], end[j] = end[j], 0
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-        look(i)
-        if before[i] >= 0:
-            look(before[i])
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part also begins where the one before it ends
+    pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
+    pair.append(None)
+    queue = RankQueue()
+    push, pop = queue.push, queue.pop
+    for i, rank in enumerate(pair):
+        if rank is not None:
+            push(rank, i)
+    while (entry := pop()) is not None:
+        rank, bucket = entry
+        while bucket:
+            i = heappop(bucket)
+            if pair[i] != rank:
+                continue
+            j = end[i]
+            k = end[i] = end[j]
+            pair[j] = None
+            least = rank
+            if k < n:
+                before[k] = i
+                new = pair[i] = rank_of(piece[i : end[k]])
+                if new is not None:
+                    if new == rank:
+                        heappush(bucket, i)
+                    else:
+                        push(new, i)
+                        if new < least:
+                            least = new
+            else:
+                pair[i] = None
+            h = before[i]
+            if h >= 0:
+                new = pair[h] = rank_of(piece[h:k])
+                if new is not None:
+                    if new == rank:
+                        heappush(bucket, h)
+                    else:
+                        push(new, h)
+                        if new < least:
+                            least = new
+            if least < rank:
+                for i in bucket:
+                    push(rank, i)
+                break
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
-        i = after[i]
+        i = end[i]
     return out
 
 

@@ -48,18 +48,22 @@ def test_cache_stays_bounded(encoding, monkeypatch):
         assert len(cache) <= 5
 
 
-def test_rank_queue_pops_smallest_rank_then_leftmost():
+def test_rank_queue_pops_the_bucket_of_the_smallest_rank():
     import random
 
-    rng, queue, held = random.Random(1), bpe.RankQueue(), []
+    rng, queue, held = random.Random(1), bpe.RankQueue(), {}
     for _ in range(3000):
-        if held and rng.random() < 0.45:
-            held.sort()
-            assert queue.pop() == held.pop(0)
+        if held and rng.random() < 0.4:
+            rank, bucket = queue.pop()
+            assert rank == min(held) and sorted(bucket) == sorted(held.pop(rank))
         else:
-            held.append((rng.choice([0, 63, 64, 4095, 4096, 49_999, rng.randrange(50_000)]), rng.randrange(100)))
-            queue.push(*held[-1])
-    assert [queue.pop() for _ in held] == sorted(held) and queue.pop() is None
+            rank, position = rng.choice([0, 63, 64, 255, 256, 4095, 4096, 49_999, rng.randrange(50_000)]), rng.randrange(100)
+            held.setdefault(rank, []).append(position)
+            queue.push(rank, position)
+    while held:
+        assert queue.pop()[0] == min(held)
+        held.pop(min(held))
+    assert queue.pop() is None
 
 
 def test_with_ids_keeps_columns(spark):
