@@ -96,7 +96,7 @@ def _(spark, sf):
 
 @query("p9_decay_controls")
 def _(spark, sf):
-    return jb.distance_decay_with_controls(labelled(spark, sf), r.scored_lr(spark, sf), r.expression(spark, sf), r.genes(spark, sf), means(spark, sf), max_cells=800, seed=1)
+    return jb.distance_decay_with_controls(labelled(spark, sf), r.scored_lr(spark, sf), r.expression(spark, sf), r.genes(spark, sf), means(spark, sf), seed=1)
 
 
 @query("a12_report_context", r.with_sql(r.CELLS) + "SELECT 'demo' AS dataset, section, COUNT(*) AS n FROM cells GROUP BY 2")

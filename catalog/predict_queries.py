@@ -58,18 +58,17 @@ def _c(i: int) -> str:
 EMB = f"""emb AS (SELECT CAST(vec_id AS VARCHAR) AS g, CAST(embedding AS DOUBLE[]) AS e, label, {_c(1)} AS l, {_c(2)} AS rr, {_c(3)} AS sec, {_c(4)} AS mem FROM embeddings),
 fr AS (SELECT CAST(l_partkey AS VARCHAR) AS g, COUNT(DISTINCT l_orderkey) / (SELECT COUNT(*) * 1.0 FROM orders) AS f FROM lineitem GROUP BY 1),
 rt AS (SELECT emb.*, f FROM emb JOIN fr USING (g) WHERE f >= 0.00001),
-lig AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY l DESC, f DESC, g) AS p FROM rt WHERE l >= 0.5) WHERE p <= 60),
-rec AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY rr DESC, f DESC, g) AS p FROM rt WHERE rr >= 0.5) WHERE p <= 80)"""
-CROSS = """cx AS (SELECT a.g AS ligand_gene, b.g AS receptor_gene, a.l AS ligand_role_score, b.rr AS receptor_role_score, b.mem AS receptor_membrane_like_score, a.f AS ligand_expression_fraction FROM lig a JOIN rec b ON a.g <> b.g
-  WHERE b.p <= CASE WHEN (SELECT COUNT(*) FROM lig) * (SELECT COUNT(*) FROM rec) > 1500 THEN GREATEST(1, floor(1500 / (SELECT COUNT(*) FROM lig))) ELSE (SELECT COUNT(*) FROM rec) END)"""
+lig AS (SELECT *, ROW_NUMBER() OVER (ORDER BY l DESC, f DESC, g) AS p FROM rt WHERE l >= 0.5),
+rec AS (SELECT *, ROW_NUMBER() OVER (ORDER BY rr DESC, f DESC, g) AS p FROM rt WHERE rr >= 0.5)"""
+CROSS = """cx AS (SELECT a.g AS ligand_gene, b.g AS receptor_gene, a.l AS ligand_role_score, b.rr AS receptor_role_score, b.mem AS receptor_membrane_like_score, a.f AS ligand_expression_fraction FROM lig a JOIN rec b ON a.g <> b.g)"""
 NEAR = """nn AS (SELECT a.g AS ligand_gene, b.g AS receptor_gene, list_cosine_similarity(a.e, b.e) AS cos, ROW_NUMBER() OVER (PARTITION BY a.g ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.g) AS p FROM lig a CROSS JOIN rec b),
-nt AS (SELECT ligand_gene, receptor_gene, cos FROM nn WHERE p <= 5 AND ligand_gene <> receptor_gene ORDER BY round(cos, 9) DESC, ligand_gene, receptor_gene LIMIT 150)"""
+nt AS (SELECT ligand_gene, receptor_gene, cos FROM nn WHERE p <= 5 AND ligand_gene <> receptor_gene)"""
 
 
 def _tops(spark, sf):
     table = r.once(spark, sf, "role table", lambda: ca.role_table(roles_(spark, sf), roles_(spark, sf), ca.expressed_gene_fractions(part_expression(spark, sf), part_cells(spark, sf)), 0.00001))
-    lig = r.once(spark, sf, "top ligands", lambda: ca.top_candidates(table, "ligand", 60, role_min=0.5))
-    rec = r.once(spark, sf, "top receptors", lambda: ca.top_candidates(table, "receptor", 80, role_min=0.5))
+    lig = r.once(spark, sf, "top ligands", lambda: ca.top_candidates(table, "ligand", role_min=0.5))
+    rec = r.once(spark, sf, "top receptors", lambda: ca.top_candidates(table, "receptor", role_min=0.5))
     return lig, rec
 
 
@@ -87,19 +86,19 @@ def _(spark, sf):
 
 @query("m4_cross_product", r.with_sql(EMB, CROSS) + "SELECT ligand_gene, receptor_gene, round(ligand_role_score, 6) AS ligand_role_score, round(receptor_role_score, 6) AS receptor_role_score, round(receptor_membrane_like_score, 6) AS receptor_membrane_like_score, round(ligand_expression_fraction, 6) AS ligand_expression_fraction FROM cx")
 def _(spark, sf):
-    out = ca.candidate_cross_product(*_tops(spark, sf), 1500)
+    out = ca.candidate_cross_product(*_tops(spark, sf))
     return out.select("ligand_gene", "receptor_gene", "ligand_role_score", "receptor_role_score", "receptor_membrane_like_score", "ligand_expression_fraction")
 
 
 @query("m5_nearest_neighbors", r.with_sql(EMB, NEAR) + "SELECT ligand_gene, receptor_gene, round(cos, 6) AS embedding_cosine FROM nt")
 def _(spark, sf):
-    return ca.nearest_neighbor_candidates(*_tops(spark, sf), embeddings(spark, sf), per_ligand=5, top_pairs=150).select("ligand_gene", "receptor_gene", "embedding_cosine")
+    return ca.nearest_neighbor_candidates(*_tops(spark, sf), embeddings(spark, sf), per_ligand=5).select("ligand_gene", "receptor_gene", "embedding_cosine")
 
 
 def candidates(spark, sf):
     return r.once(spark, sf, "candidates", lambda: ca.generate_lr_candidates(
         part_expression(spark, sf), part_cells(spark, sf), roles_(spark, sf), roles_(spark, sf), embeddings=embeddings(spark, sf), expression_min_fraction=0.00001, ligand_role_min=0.5, receptor_role_min=0.5,
-        max_ligands=60, max_receptors=80, max_candidate_pairs=1650, nearest_neighbor_pairs=150, nearest_neighbors_per_ligand=5))
+        nearest_neighbor_pairs=None, nearest_neighbors_per_ligand=5))
 
 
 CAND = """cand AS (SELECT ligand_gene, receptor_gene, string_agg(s, ';' ORDER BY o) AS candidate_strategy, MAX(cos) AS cos FROM (SELECT ligand_gene, receptor_gene, 0 AS o, 'role_expression_cross_product' AS s, NULL AS cos FROM cx
@@ -179,7 +178,7 @@ def _(spark, sf):
     table = predict_lr_dbfree(
         part_expression(spark, sf), part_cells(spark, sf), roles_(spark, sf), embeddings(spark, sf), role_models=None, allow_fixture_models=True,
         ligand_candidates=roles_(spark, sf).where("ligand_like_score >= 0.6").select("gene_id"), receptor_candidates=roles_(spark, sf).where("receptor_like_score >= 0.6").select("gene_id"),
-        density_prior=0.1, expression_min_fraction=0.00001, max_ligands=40, max_receptors=40, max_candidate_pairs=1600)
+        density_prior=0.1, expression_min_fraction=0.00001)
     return table.interactions.select("ligand", "receptor", "model_score", "density_rank", "warning")
 
 

@@ -312,7 +312,7 @@ def perm_sql(tail: str) -> str:
         """ps AS (SELECT s.perm, s.grp AS source, t.grp AS target, ligand, receptor, pathway, sqrt(s.expr * t.expr) AS prob FROM lr
   JOIN pc s ON ligand = s.complex JOIN pc t ON receptor = t.complex AND s.perm = t.perm WHERE s.expr > 0 AND t.expr > 0 AND s.pct >= 0.05 AND t.pct >= 0.05)""",
         f"""pv AS (SELECT i.source, i.target, i.ligand, i.receptor, i.pathway, i.annotation, i.interaction_name_2, i.prob, i.ligand_expr, i.receptor_expr,
-  (COUNT(CASE WHEN round(p.prob, 12) >= round(i.prob, 12) THEN 1 END) + 1) / {N_PERM + 1}.0 AS pvalue
+  (COUNT(CASE WHEN p.prob >= i.prob - 1e-9 * abs(i.prob) THEN 1 END) + 1) / {N_PERM + 1}.0 AS pvalue
   FROM inter i LEFT JOIN ps p USING (source, target, ligand, receptor, pathway) GROUP BY ALL)""",
     ) + tail
 

@@ -229,7 +229,7 @@ def _(spark, sf):
 
 
 @query("o15_null_stats", core("""SELECT s.ligand, s.receptor, s.kernel, round(CASE WHEN stddev_samp(n.sc) <= 1e-11 * GREATEST(1, abs(AVG(n.sc))) THEN 0 ELSE (MIN(s.sc) - AVG(n.sc)) / stddev_samp(n.sc) END, 4) AS spatial_enrichment_z,
-  round((COUNT(*) FILTER (WHERE round(n.sc, 12) >= round(s.sc, 12)) + 1) / (COUNT(*) + 1), 6) AS empirical_pvalue FROM summ s JOIN nulls n ON n.ligand = s.ligand AND n.receptor = s.receptor AND n.kernel = s.kernel GROUP BY 1, 2, 3""", *ALL_NULLS))
+  round((COUNT(*) FILTER (WHERE n.sc >= s.sc - 1e-9 * abs(s.sc)) + 1) / (COUNT(*) + 1), 6) AS empirical_pvalue FROM summ s JOIN nulls n ON n.ligand = s.ligand AND n.receptor = s.receptor AND n.kernel = s.kernel GROUP BY 1, 2, 3""", *ALL_NULLS))
 def _(spark, sf):
     out = nl.attach_null_stats(summary(spark, sf), null(spark, sf))
     return out.select("ligand", "receptor", "kernel", F.round("spatial_enrichment_z", 4).alias("spatial_enrichment_z"), "empirical_pvalue")
@@ -242,7 +242,7 @@ ob AS (SELECT kernel, score_type, k, AVG(v) AS o, COUNT(*) AS n_pairs FROM top G
 runs AS (SELECT t.kernel, t.score_type, t.k, null_model, i, AVG(nl.v) AS v FROM nl JOIN top t ON t.ligand = nl.ligand AND t.receptor = nl.receptor AND t.kernel = nl.kernel AND t.score_type = nl.score_type GROUP BY 1, 2, 3, 4, 5),
 rp AS (SELECT kernel, score_type, k, null_model, v FROM runs UNION ALL SELECT kernel, score_type, k, 'pooled', v FROM runs)"""
 TOPK_TAIL = """SELECT kernel, score_type, CAST(k AS BIGINT) AS k, null_model, MIN(n_pairs) AS n_pairs, round(MIN(o), 6) AS observed_mean, round(AVG(v), 6) AS null_mean, round(stddev_samp(v), 6) AS null_sd,
-  round(CASE WHEN stddev_samp(v) <= 1e-11 * GREATEST(1, abs(AVG(v))) THEN 0 ELSE (MIN(o) - AVG(v)) / stddev_samp(v) END, 4) AS top_k_enrichment_z, round((COUNT(*) FILTER (WHERE round(v, 12) >= round(o, 12)) + 1) / (COUNT(*) + 1), 6) AS top_k_empirical_pvalue
+  round(CASE WHEN stddev_samp(v) <= 1e-11 * GREATEST(1, abs(AVG(v))) THEN 0 ELSE (MIN(o) - AVG(v)) / stddev_samp(v) END, 4) AS top_k_enrichment_z, round((COUNT(*) FILTER (WHERE v >= o - 1e-9 * abs(o)) + 1) / (COUNT(*) + 1), 6) AS top_k_empirical_pvalue
 FROM rp JOIN ob USING (kernel, score_type, k) GROUP BY 1, 2, 3, 4"""
 
 
@@ -290,7 +290,7 @@ DECAY_TAIL = "SELECT ligand, receptor, round(lo, 5) AS distance_min, round(hi, 5
 
 def _decay(spark, sf):
     # the sample bound covers all cells of the correctness scale
-    return r.once(spark, sf, "decay", lambda: sp.distance_decay(labelled(spark, sf), r.scored_lr(spark, sf), means(spark, sf), max_cells=5000))
+    return r.once(spark, sf, "decay", lambda: sp.distance_decay(labelled(spark, sf), r.scored_lr(spark, sf), means(spark, sf)))
 
 
 def _rounded_decay(df):

@@ -184,7 +184,7 @@ def expression_potential_score(lr: DataFrame, means: DataFrame, groups: DataFram
 
 
 def distance_decay_with_controls(
-    labelled: DataFrame, lr: DataFrame, nz: DataFrame, genes: DataFrame, means_all: DataFrame, *, max_cells: int = 5000, seed: int = 0, controls: Sequence[str] = ("matched_random_lr", "score_permutation")
+    labelled: DataFrame, lr: DataFrame, nz: DataFrame, genes: DataFrame, means_all: DataFrame, *, max_cells: int | None = None, seed: int = 0, controls: Sequence[str] = ("matched_random_lr", "score_permutation")
 ) -> DataFrame:
     """Decay of the table itself, of a matched random draw of it, and with shuffled model scores."""
     out = distance_decay(labelled, lr, means_all, max_cells=max_cells, seed=seed).withColumn("validation_strategy", F.lit("dbfree"))

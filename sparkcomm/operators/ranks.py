@@ -29,6 +29,16 @@ def unit_bucket(value: Column, buckets: int = 1024) -> Column:
     return F.floor(F.least(F.greatest(value, F.lit(-1.0)), F.lit(2.0)) * buckets).cast("int")
 
 
+def tie_floor(observed: Column) -> Column:
+    """Values from here on count as reaching ``observed``: a relative tolerance, as scores have no fixed scale."""
+    return observed - 1e-9 * F.abs(observed)
+
+
+def reaches(value: Column, observed: Column) -> Column:
+    """value is at least observed; sums of the same terms in another order count as equal."""
+    return value >= tie_floor(observed)
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],

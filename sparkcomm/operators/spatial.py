@@ -348,17 +348,19 @@ def curated_overlap_enrichment(summary: DataFrame) -> DataFrame:
     return stats.withColumn("curated_overlap_enrichment", F.col("curated_overlap_mean") / F.nullif(F.col("background_mean"), F.lit(0.0)))
 
 
-def sample_cells(labelled: DataFrame, max_cells: int, *, seed: int = 0) -> DataFrame:
-    """At most ``max_cells`` cells by hash order; all of them when there are no more."""
+def sample_cells(labelled: DataFrame, max_cells: int | None, *, seed: int = 0) -> DataFrame:
+    """At most ``max_cells`` cells by hash order; all of them without a limit."""
+    if max_cells is None:
+        return labelled
     keyed = labelled.withColumns({"_k": F.lit(0), "_h": hash_long(seed, F.lit("decay"), F.col("cell_id"))})
     return top_per_key(keyed, ["_k"], [F.col("_h"), F.col("cell_id")], max_cells).drop("_k", "_h")
 
 
-def distance_decay(labelled: DataFrame, lr: DataFrame, means: DataFrame, *, max_cells: int = 5000, seed: int = 0) -> DataFrame:
-    """Mean LR score in five quantile bins of the pair distances of a sample of cells.
+def distance_decay(labelled: DataFrame, lr: DataFrame, means: DataFrame, *, max_cells: int | None = None, seed: int = 0) -> DataFrame:
+    """Mean LR score in five quantile bins of the pair distances of all cells, or of a sample of ``max_cells``.
 
-    Bins are closed at both ends. All pairs of the sample are looked at, so ``max_cells``
-    bounds the work.
+    Bins are closed at both ends. All pairs of places are looked at, a square by definition; they are made and
+    summed inside the tasks.
     """
     few = materialize(sample_cells(labelled, max_cells, seed=seed).select("cell_id", "group", "x", "y"))
     places = few.groupBy("x", "y", "group").agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from ..session import materialize
 from ..operators import expression as ex
 from ..operators import markers as mk
 from ..operators.lr_table import complex_subunits, filter_lr_to_genes, gene_lookup, lr_expression_genes, normalize_lr_table
+from ..operators.ranks import reaches
 from ..operators.resample import repeat_rows, sample_per_group, shuffled_labels
 from ..operators.scoring import PAIR_KEYS, SCORE_METHODS, resolve_complex_aggregate, score_lr
 from ..operators.sketches import summarize_sketches
@@ -209,13 +210,8 @@ def compute_communication(
 def attach_permutation_pvalues(observed: DataFrame, null: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     """(#runs scoring at least the observed + 1) / (n + 1); a run without the row counts as 0."""
     keys = [*by, *PAIR_KEYS]
-    seen = observed.select(*keys, F.round("prob", 12).alias("_obs"))
-    hits = (
-        null.select(*keys, F.round("prob", 12).alias("_null"))
-        .join(seen, keys)
-        .groupBy(*keys)
-        .agg(F.count_if(F.col("_null") >= F.col("_obs")).alias("_hits"))
-    )
+    seen = observed.select(*keys, F.col("prob").alias("_obs"))
+    hits = null.select(*keys, F.col("prob").alias("_null")).join(seen, keys).groupBy(*keys).agg(F.count_if(reaches(F.col("_null"), F.col("_obs"))).alias("_hits"))
     out = observed.join(hits, keys, "left")
     return out.withColumn("pvalue", (F.coalesce("_hits", F.lit(0)) + 1) / F.lit(float(n + 1))).drop("_hits")
 

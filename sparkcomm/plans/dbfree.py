@@ -52,9 +52,9 @@ def predict_lr_dbfree(
     ligand_candidates: DataFrame | None = None,
     receptor_candidates: DataFrame | None = None,
     min_score: float = 0.5,
-    max_pairs: int = 50_000,
-    max_pairs_per_ligand: int = 200,
-    max_pairs_per_receptor: int = 200,
+    max_pairs: int | None = None,
+    max_pairs_per_ligand: int | None = None,
+    max_pairs_per_receptor: int | None = None,
     allow_low_score_density_fill: bool = False,
     **candidate_options: Any,
 ) -> LRTable:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkcomm.model import CommResult
 from sparkcomm.operators import candidates as ca
+from sparkcomm.operators import nulls as nl
 from sparkcomm.operators import diff as df
 from sparkcomm.operators import patterns as pt
 from sparkcomm.operators import ranking as rk
@@ -113,6 +114,16 @@ def test_parallel_greedy_equals_the_sequential_pass(spark):
     assert [(r["ligand_gene"], r["receptor_gene"]) for r in few.collect()] == want[:4]
 
 
+def test_a_null_equal_to_the_observed_counts_at_any_scale(spark):
+    """Sums of the same terms differ in their last bits only; rows without nulls stand among those of their kernel."""
+    big = 1e5 + 0.1
+    summary = spark.createDataFrame([("a", "b", "exp", big, 2.0), ("c", "d", "exp", big, 1.0), ("e", "f", "exp", 5.0, 9.0)], "ligand string, receptor string, kernel string, spatial_ccc_score double, model_weighted_spatial_ccc_score double")
+    rows = [("a", "b", "exp", "spatial_ccc_score", big * (1 - 1e-14)) for _ in range(4)] + [("a", "b", "exp", "model_weighted_spatial_ccc_score", v) for v in (1.0, 2.0, 2.0 - 1e-12, 3.0)]
+    null = spark.createDataFrame(rows, "ligand string, receptor string, kernel string, score_type string, score_value double")
+    got = {r["ligand"]: (r["empirical_pvalue"], r["model_weighted_empirical_pvalue"]) for r in nl.attach_null_stats(summary, null).collect()}
+    assert got == {"a": (1.0, 0.8), "c": (1.0, 1.0), "e": (1.0, 0.2)}
+
+
 def test_density_target_and_prior(spark):
     train = spark.createDataFrame(
         [("human", "mammal", "L1", "R1", "A"), ("human", "mammal", "L2", "R2", "A"), ("mouse", "mammal", "L1", "R1", "B")], "species string, clade string, ligand_gene string, receptor_gene string, resource string"
@@ -150,7 +161,7 @@ def test_pair_features_reduce_long_vectors(spark):
     emb = spark.createDataFrame([(f"g{i}", [float(v) for v in rng.normal(size=8)], 10 + i) for i in range(12)], "gene_id string, embedding array<float>, sequence_length int")
     pairs = spark.createDataFrame([(f"g{i}", f"g{i + 6}", i % 2) for i in range(6)], "ligand_gene string, receptor_gene string, label int")
     pca = ca.fit_pair_pca(pairs, emb, k=3)
-    out = ca.make_lr_pair_features(pairs, emb, pca=pca, k=3).first()
+    out = ca.make_lr_pair_features(pairs, emb, pca=pca).first()
     assert len(out["feature_array"]) == 4 * 3 + 6
     assert out["feature_array"][-4] == pytest.approx(math.log1p(10 + int(out["ligand_gene"][1:])))
     with pytest.raises(ValueError, match="Missing"):
