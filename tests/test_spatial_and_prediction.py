@@ -101,7 +101,9 @@ def greedy(edges, cap_l, cap_r):
     return out
 
 
-def test_parallel_greedy_equals_the_sequential_pass(spark):
+@pytest.mark.parametrize("band", [50_000, 40, 0])  # one band, many, and rounds
+def test_banded_greedy_equals_the_sequential_pass(spark, monkeypatch, band):
+    monkeypatch.setattr(ca, "BAND", band)
     rnd = random.Random(3)
     edges = [(round(rnd.random(), 2), f"l{i}", f"r{j}") for i in range(14) for j in range(11) if rnd.random() < 0.7]
     edges += [(0.5, "hub", f"r{j}") for j in range(11)]
