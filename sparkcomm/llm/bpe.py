@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import chain
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Worker cache of pre-tokens: entries, and the longest pre-token kept.
-CACHE_ENTRIES, CACHE_BYTES = 400_000, 64
+CACHE_ENTRIES, CACHE_BYTES = 250_000, 64
 #: Texts beyond this many characters are split into pre-tokens piece by piece.
 LONG_TEXT = 1 << 20
 
@@ -129,9 +130,9 @@ class Cache(dict):
         super().__init__()
         self.ranks = ranks
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> array:
         raw = piece.encode()
-        ids = merge(raw, self.ranks)
+        ids = array("i", merge(raw, self.ranks))
         if len(raw) <= CACHE_BYTES:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()

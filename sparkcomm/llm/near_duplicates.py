@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcomm.llm.common import row_key
-from sparkcomm.llm.signatures import shingle_sets, super_min_hash
+from sparkcomm.llm.signatures import forget, shingle_sets, super_min_hash
 from sparkcomm.session import materialize
 
 #: Words of a shingle; similarity that links, in hundredths.
@@ -47,6 +47,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                     ],
                     ["id", "th", "n_shingles", "set_id", "bands"],
                 )
+        forget()
 
     return docs.select(F.col(key).cast("long"), F.xxhash64(text), text).mapInArrow(run, "id long, th long, n_shingles long, set_id string, bands array<long>")
 
@@ -169,6 +170,7 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
         node, block = pdf["node"].to_numpy(), pdf["block"].to_numpy()
         sets = [s for at in range(0, len(pdf), TOGETHER) for s in shingle_sets(pdf["t"].iloc[at : at + TOGETHER].tolist(), WIDTH)]
+        forget()
         left = np.flatnonzero(block == pdf["i"].iloc[0])
         pairs = links(sets, left, left if pdf["i"].iloc[0] == pdf["j"].iloc[0] else np.flatnonzero(block == pdf["j"].iloc[0]))
         return pd.DataFrame({"a": node[[i for i, _ in pairs]], "b": node[[j for _, j in pairs]]}, dtype="int64")

@@ -13,6 +13,8 @@ _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 #: Elements that take later steps of SuperMinHash together; each holds a permutation of the slots.
 TOGETHER = 40_000
+#: Words whose hashes a worker keeps.
+HASHES = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,10 +25,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes(dict):
-    """64-bit hashes by word; emptied when full."""
+    """64-bit hashes by word; emptied when full and when a task ends (workers live on)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > HASHES:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -35,6 +37,11 @@ class Hashes(dict):
 _HASHES = Hashes()
 
 
+def forget() -> None:
+    """Give back what the hashes of this task take."""
+    _HASHES.clear()
+
+
 def _chain(h: np.ndarray, width: int, n: int) -> np.ndarray:
     out = np.full(n, width, _U)
     for i in range(width):
