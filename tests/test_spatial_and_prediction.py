@@ -101,7 +101,7 @@ def greedy(edges, cap_l, cap_r):
     return out
 
 
-@pytest.mark.parametrize("band", [200_000, 40, 0])  # one band, many, and rounds
+@pytest.mark.parametrize("band", [200_000, 60])  # one band, and several
 def test_banded_greedy_equals_the_sequential_pass(spark, monkeypatch, band):
     monkeypatch.setattr(ca, "BAND", band)
     rnd = random.Random(3)
