@@ -19,12 +19,13 @@ from sparkcomm.session import materialize
 BASE = 1.5
 #: Bits set per level, bits of a segment (all bits of an n-gram lie in one), and bits per level for that many probes.
 PROBES, SEGMENT, BITS_PER_LEVEL = 4, 1 << 16, float(4 / np.log(2))
-#: Bound of the broadcast filter. While it is too small, the rarest word pairs are left to the unigram estimate.
-MAX_FILTER_BYTES = 64 << 20
+#: Bounds of the broadcast filter and of its part for word pairs. Whole levels from the top are in it; the levels of rarer
+#: n-grams are a table that the texts' n-grams meet in a join.
+MAX_FILTER_BYTES, MAX_PAIR_BYTES = 64 << 20, 4 << 20
 #: Bound of the broadcast table of exact counts; rarer tokens meet their counts in a join.
 MAX_FREQUENT = 1 << 18
-#: Weight, in tokens, of the unigram estimate in a word pair's probability; pairs seen less often are not kept.
-PRIOR, MIN_PAIRS = 200.0, 2
+#: Weight, in tokens, of the unigram estimate in a word pair's probability.
+PRIOR = 200.0
 #: Pairs gathered in a task before they are added up.
 FLUSH = 2_000_000
 #: Words whose hashes a worker keeps.
@@ -147,6 +148,10 @@ class Model:
     counts: DataFrame
     frequent: tuple[np.ndarray, np.ndarray]
     filter: Filter
+    #: Least levels of words and pairs in the filter, and the n-grams (h, level) below them; None if there are none.
+    low: tuple[int, int] = (1, 1)
+    rare_words: DataFrame | None = None
+    rare_pairs: DataFrame | None = None
 
 
 def build_filter(grams: DataFrame, segments: int) -> Filter:
@@ -178,7 +183,7 @@ def build_filter(grams: DataFrame, segments: int) -> Filter:
 def train(docs: DataFrame, *, text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> Model:
     """Count tokens and word pairs of all rows; null texts count as empty. Counts are kept by 64-bit hashes."""
     words = materialize(gathered(docs, text, lambda t: t))
-    pairs = materialize(gathered(docs, text, _pairs).where(F.col("n") >= MIN_PAIRS).withColumn("level", level_of(F.col("n"))))
+    pairs = materialize(gathered(docs, text, _pairs).select("h", level_of(F.col("n")).alias("level")))
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     sizes = sorted((r["level"], r["n"]) for r in words.groupBy(level_of(F.col("n")).alias("level")).agg(F.count("*").alias("n")).collect())
     pair_sizes = sorted((r["level"], r["n"]) for r in pairs.groupBy("level").agg(F.count("*").alias("n")).collect())
@@ -193,15 +198,49 @@ def train(docs: DataFrame, *, text: str = "text", max_filter_bytes: int = MAX_FI
     n = rows["n"].to_numpy() if least else np.zeros(0, np.int64)
     order = np.argsort(h)
 
-    room = max_filter_bytes * 8 / BITS_PER_LEVEL
-    chosen = [("w", level, n) for level, n in reversed(sizes)] + [("p", level, n) for level, n in reversed(pair_sizes)]
-    low, used = {"w": 10**6, "p": 10**6}, 0
-    for kind, level, count in chosen:  # whole levels from the top, words before pairs
-        if used + level * count > room:
-            continue
-        low[kind], used = min(low[kind], level), used + level * count
-    grams = words.select("h", level_of(F.col("n")).alias("level")).where(F.col("level") >= low["w"]).unionAll(pairs.select("h", "level").where(F.col("level") >= low["p"]))
-    return Model(total["n"] or 0, total["v"], words, (h[order], n[order]), build_filter(grams, int(used * BITS_PER_LEVEL / SEGMENT) + 1))
+    low, used = [], 0
+    for found, bound in ((sizes, max_filter_bytes), (pair_sizes, MAX_PAIR_BYTES)):  # whole levels from the top, words before pairs
+        room = min(bound * 8 / BITS_PER_LEVEL, max_filter_bytes * 8 / BITS_PER_LEVEL - used)
+        least = 1000
+        for level, count in reversed(found):
+            if level * count > room:
+                break
+            least, used, room = level, used + level * count, room - level * count
+        low.append(1 if not found or least == found[0][0] else least)
+    leveled = words.select("h", level_of(F.col("n")).alias("level"))
+    grams = leveled.where(F.col("level") >= low[0]).unionAll(pairs.where(F.col("level") >= low[1]))
+    below = [None if at == 1 else table.where(F.col("level") < at) for table, at in zip((leveled, pairs), low, strict=True)]
+    bits = build_filter(grams, int(used * BITS_PER_LEVEL / SEGMENT) + 1)
+    return Model(total["n"] or 0, total["v"], words, (h[order], n[order]), bits, (low[0], low[1]), *below)
+
+
+def _with_rare_words(rows: DataFrame, model: Model, text: str) -> DataFrame:
+    """rows with rare_h, rare_level: the words of each text that the filter has no room for."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.filter.segments, model.filter.bits))
+    low = model.low[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe = Filter(*shared.value).levels
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.unique(token_hashes(t))
+                own = own[probe(own) < low]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row)), pa.array(own.view(np.int64))], ["_row", "h"])
+
+    found = rows.select("_row", text).mapInArrow(run, "_row long, h long").join(model.rare_words, "h")
+    found = found.groupBy("_row").agg(F.collect_list(F.struct("h", "level")).alias("rare"))
+    return rows.join(found, "_row", "left").select(*rows.columns, F.col("rare.h").alias("rare_h"), F.col("rare.level").alias("rare_level"))
+
+
+def _gains(scored: DataFrame, model: Model, room: float) -> DataFrame:
+    """_row, gain: what the rare pairs of a text add to its score."""
+    known = F.lit([float(x) for x in estimate(np.arange(128))])
+    middle = lambda level: F.get(known, level.cast("int"))
+    pairs = scored.select("_row", F.explode(F.arrays_zip("open", "code")).alias("x")).select("_row", F.col("x.open").alias("h"), F.col("x.code").alias("code"))
+    rest = F.lit(PRIOR) * ((middle(F.shiftright("code", 8).bitwiseAND(255)) + 0.1) / F.lit(room))
+    seen = middle(F.least(F.col("level").cast("long"), F.col("code").bitwiseAND(255)))
+    gain = F.shiftright("code", 16) * (F.log10(seen + rest) - F.log10(rest))
+    return pairs.join(model.rare_pairs, "h").groupBy("_row").agg(F.sum(gain).alias("gain"))
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,10 +248,12 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     A null or empty text is its end alone. Repeated rows are scored one by one. In ``score`` the probability of a
     token after another is (pair count + PRIOR x unigram estimate) / (count of the one before + PRIOR), with all
-    counts read from the filter; a pair count is at most the count of either token.
+    counts as their levels tell, read from the filter or, for n-grams it has no room for, from the table of rare ones; a
+    pair count is at most the count of either token.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.frequent, model.filter.segments, model.filter.bits))
+    (low_word, low_pair), some_rare = model.low, model.rare_words is not None
     room = model.tokens + 0.1 * (model.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,12 +266,21 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                 sizes = np.array([len(p) for p in parts])
                 tokens = np.concatenate(parts)
                 own, where = np.unique(tokens, return_inverse=True)
-                rough = estimate(probe(own))
+                level = probe(own)
+                level[level < low_word] = 0  # no n-gram of the filter reads as less than its level
+                if some_rare:
+                    at = np.searchsorted(own, batch.column(3).flatten().to_numpy().view(_U))
+                    level[at] = batch.column(4).flatten().to_numpy()
+                rough = estimate(level)
                 prob = (rough + 0.1) / room
                 before = np.concatenate(([0], where[:-1]))
                 starts = np.cumsum(sizes) - sizes
                 before[starts] = np.searchsorted(own, _U(END))
-                pair = np.minimum(estimate(probe(pair_hash(own[before], tokens))), np.minimum(rough[before], rough[where]))
+                pairs = pair_hash(own[before], tokens)
+                pair_level = probe(pairs)
+                pair_level[pair_level < low_pair] = 0
+                most = np.minimum(level[before], level[where])
+                pair = estimate(np.minimum(pair_level, most))
                 logs = np.log10((pair + PRIOR * prob[where]) / (rough[before] + PRIOR))
                 at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
                 common = known[at] == own if len(known) else np.zeros(len(own), bool)
@@ -238,6 +288,14 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                 rare = ~common[where]
                 ends = np.cumsum([rare[s : s + n].sum() for s, n in zip(starts, sizes, strict=True)])
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+                doc = np.repeat(np.arange(len(parts)), sizes)
+                held = np.flatnonzero((pair_level == 0) & (most > 0)) if low_pair > 1 else np.zeros(0, int)
+                held = held[np.lexsort((pairs[held], doc[held]))]
+                new = np.flatnonzero(np.append(True, (pairs[held][1:] != pairs[held][:-1]) | (doc[held][1:] != doc[held][:-1]))[: len(held)])
+                times = np.diff(np.append(new, len(held)))
+                held = held[new]
+                code = times << 16 | level[where[held]].astype(np.int64) << 8 | most[held]
+                open_offsets = pa.array(np.searchsorted(doc[held], np.arange(len(parts) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.columns[:2],
@@ -246,17 +304,25 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                         pa.array(np.add.reduceat(exact[where], starts)),
                         pa.array(np.add.reduceat(logs, starts)),
                         pa.ListArray.from_arrays(offsets, pa.array(tokens[rare].view(np.int64))),
+                        pa.ListArray.from_arrays(open_offsets, pa.array(pairs[held].view(np.int64))),
+                        pa.ListArray.from_arrays(open_offsets, pa.array(code.astype(np.int64))),
                     ],
-                    ["_row", key, "n_tokens", "n_common", "common_score", "score", "rare"],
+                    ["_row", key, "n_tokens", "n_common", "common_score", "score", "rare", "open", "code"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), key, text)
     kind = rows.schema[1].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(run, f"_row long, `{key}` {kind}, n_tokens long, n_common long, common_score double, score double, rare array<long>"))
+    if some_rare:
+        rows = _with_rare_words(materialize(rows), model, text)
+    scored = materialize(rows.mapInArrow(run, f"_row long, `{key}` {kind}, n_tokens long, n_common long, common_score double, score double, rare array<long>, open array<long>, code array<long>"))
     rare = scored.select("_row", F.explode("rare").alias("h")).join(model.counts, "h", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     rare = rare.groupBy("_row").agg(F.sum(F.log10((n + 0.1) / F.lit(room))).alias("rare_score"), F.sum((n > 0).cast("long")).alias("n_rare"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("rare").join(rare, "_row", "left").select(
-        key, "n_tokens", (F.col("n_common") + zero("n_rare")).alias("n_known"), (F.col("common_score") + zero("rare_score")).alias("base_score"), "score"
+    out = scored.drop("rare", "open", "code").join(rare, "_row", "left")
+    score = F.col("score")
+    if model.rare_pairs is not None:
+        out, score = out.join(_gains(scored, model, room), "_row", "left"), score + zero("gain")
+    return out.select(
+        key, "n_tokens", (F.col("n_common") + zero("n_rare")).alias("n_known"), (F.col("common_score") + zero("rare_score")).alias("base_score"), score.alias("score")
     )

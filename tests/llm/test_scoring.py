@@ -81,3 +81,32 @@ def test_estimates_lie_in_their_levels():
         got = float(scoring.estimate(np.array([level]))[0])
         assert n / scoring.BASE <= got <= n * scoring.BASE
     assert scoring.estimate(np.array([0]))[0] == 0
+
+
+def brute_score(texts, train):
+    """Scores from the levels of all words and pairs, each as often as it stands in the training texts."""
+    level = lambda n: int(math.floor(math.log(n) / math.log(scoring.BASE) + 1e-9)) + 1 if n else 0
+    mid = lambda n: float(scoring.estimate(np.array([level(n)]))[0])
+    one = Counter(t for text in train for t in tokens(text))
+    two = Counter(p for text in train for p in zip(["\n", *tokens(text)], tokens(text), strict=False))
+    room = sum(one.values()) + 0.1 * (len(one) + 1)
+    out = []
+    for text in texts:
+        rest = lambda w: scoring.PRIOR * (mid(one[w]) + 0.1) / room
+        pairs = zip(["\n", *tokens(text)], tokens(text), strict=False)
+        out.append(sum(math.log10((min(mid(two[a, b]), mid(one[a]), mid(one[b])) + rest(b)) / (mid(one[a]) + scoring.PRIOR)) for a, b in pairs))
+    return out
+
+
+def test_no_ngram_is_lost_beyond_the_filter(spark):
+    table = odd_rows() + [(100 + i, prose(i, 200, 3000), "en", "a", 0) for i in range(40)]
+    docs = clashing(spark.createDataFrame(table, odd(spark).schema))
+    train = [r[1] for r in table[:40]]
+    trained = spark.createDataFrame([(t,) for t in train], "text string")
+    want = sorted((str(r[0]), s) for r, s in zip(table, brute_score([r[1] for r in table], train), strict=True))
+    for bound, far in ((0, 1e-9), (3000, 0.01), (scoring.MAX_FILTER_BYTES, 0.1)):  # nothing, part and all in the filter, whose bits may read too high
+        model = scoring.train(trained, max_filter_bytes=bound)
+        got = sorted((str(r["doc_id"]), r["score"]) for r in scoring.score(docs, model).collect())
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert all(math.isclose(a[1], b[1], rel_tol=far) for a, b in zip(got, want, strict=True)), bound
+    assert model.rare_pairs is None and model.low == (1, 1)
