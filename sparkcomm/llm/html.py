@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,9 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcomm.llm.scoring import _HASHES, pair_hash
+from sparkcomm.session import materialize
+
 #: Runs of so many tokens that stand on so many distinct pages of a host are boilerplate.
 RUN, PAGES = 5, 3
-#: Pages of a host that share one suffix array; hosts with more are dealt over several.
+#: Pages of a host that share one suffix array; hosts with more are dealt over several, and their runs are counted by hash.
 SHARD = 400
 #: Share of a block's tokens that repeated runs must cover.
 COVERED = 0.5
@@ -189,8 +194,22 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
     return [found[distinct[tuple(s)]] for s in streams]
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """Main texts of pages of one host.
+def windows(tokens: list[str], run: int = RUN) -> np.ndarray:
+    """Hashes of the windows of ``run`` tokens, by where they start."""
+    h = np.fromiter((_HASHES[t.encode("utf-8", "surrogatepass")] for t in tokens), np.uint64, len(tokens))
+    n = max(len(h) - run + 1, 0)
+    out = h[:n]
+    for i in range(1, run):
+        out = pair_hash(out, h[i : i + n])
+    return out
+
+
+def _tokens(page: str) -> list[str]:
+    return [t for b in blocks(page) for t in b.text.split(" ")]
+
+
+def main_texts(pages: list[str], often: np.ndarray | None = None) -> list[str]:
+    """Main texts of pages of one host. ``often``: hashes of windows (see ``windows``) found to repeat on other pages too.
 
     A block is dropped if repeated runs cover at least COVERED of it. The page's markup then corrects this both ways: paragraphs,
     headings, list items and the like of an article or main element come back (articles may quote each other), and
@@ -201,7 +220,12 @@ def main_texts(pages: list[str]) -> list[str]:
     for page in parsed:
         for b in page:
             b.tokens = b.text.split(" ")
-    found = repeated([[t for b in page for t in b.tokens] for page in parsed])
+    streams = [[t for b in page for t in b.tokens] for page in parsed]
+    found = repeated(streams)
+    if often is not None and len(often):
+        for stream, covered in zip(streams, found, strict=True):
+            for start in np.flatnonzero(np.isin(windows(stream), often)):
+                covered[start : start + RUN] = True
     out = []
     for page, covered in zip(parsed, found, strict=True):
         framed = any(b.inside and not b.beside for b in page)
@@ -224,15 +248,29 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     """Key, url and the main text of every page (see ``main_texts``): blocks joined by an empty line, empty if there are none.
 
     Null html counts as empty. Pages without a host count as one host. A host with more than SHARD pages is dealt over
-    several suffix arrays by a hash of the page, so no task holds a whole large host; boilerplate that stands on
-    a few pages of such a host only may be missed there, and the markup decides.
+    several suffix arrays by a hash of the page, so no task holds a whole large host; the runs its pages share across these
+    are found by hashes of windows of RUN tokens, counted over the distinct pages of the host.
     """
     named = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     shards = named.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"))
     dealt = named.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64(key, url, F.length("html")), F.col("shards")))
+    many = dealt.where(F.col("shards") > 1)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            every = [_tokens(h or "") for h in pdf["html"]]
+            own = [np.unique(windows(t)).view(np.int64) for t in every]
+            stream = [hashlib.md5(" ".join(t).encode("utf-8", "surrogatepass")).hexdigest() for t in every]
+            yield pd.DataFrame({"host": pdf["host"], "shard": pdf["shard"], "stream": stream, "windows": own})
+
+    held = materialize(many.select("host", "shard", "html").mapInPandas(cut, "host string, shard long, stream string, windows array<long>"))
+    once = held.groupBy("host", "stream").agg(F.first("windows").alias("windows"))
+    often = once.select("host", F.explode("windows").alias("w")).groupBy("host", "w").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    often = held.select("host", "shard", F.explode("windows").alias("w")).distinct().join(often, ["host", "w"]).select("host", "shard", "w")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: pdf[key], url: pdf[url], "text": main_texts([h or "" for h in pdf["html"]])})
+    def run(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        texts = main_texts([h or "" for h in pdf["html"]], found["w"].to_numpy(np.int64).view(np.uint64))
+        return pd.DataFrame({key: pdf[key], url: pdf[url], "text": texts})
 
     kind = {f.name: f.dataType.simpleString() for f in pages.select(key, url).schema}
-    return dealt.groupBy("host", "shard").applyInPandas(run, f"`{key}` {kind[key]}, `{url}` {kind[url]}, text string")
+    return dealt.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInPandas(run, f"`{key}` {kind[key]}, `{url}` {kind[url]}, text string")

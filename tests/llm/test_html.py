@@ -83,3 +83,15 @@ def test_driver_pages(spark):
         inner = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
         parts = [" ".join(entities.unescape(re.sub(r"<br>|</?b>", lambda m: " " if m[0] == "<br>" else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert got[p["page_id"]] == "\n\n".join(x for x in parts if x)
+
+
+def test_runs_across_shards_equal_those_of_one(spark, monkeypatch):
+    foot = "all rights kept by the makers of this site"
+    bodies = [" ".join(prose(i, 30, 4000).split()) for i in range(60)]
+    pages = [f"<body><div>{b}</div>" + (f"<div>{foot}</div>" if i % 15 == 0 else "") + "</body>" for i, b in enumerate(bodies)]
+    pages += [f"<body><div>copied {bodies[1]}</div></body>"] * 5  # copies are one page
+    df = spark.createDataFrame([(i, "http://a.x/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    whole = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    monkeypatch.setattr(html, "SHARD", 2)
+    dealt = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert dealt == whole and all(whole[i] == b for i, b in enumerate(bodies))
