@@ -60,8 +60,8 @@ def assess(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source:
 
     base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT percent of them repeated. kept: not base_failed, and not
     depleted once the boilerplate lines of the host (``source``; null is one host) are gone. Distinct documents of a
-    line differ in their other lines: each goes by the least hash among these, so that copies of one document
-    count once and their own lines are not taken for boilerplate. Null and empty texts have no words and fail.
+    line differ in their normalised lines, by a hash of all of them, so that copies of one document count once and their own
+    lines are not taken for boilerplate; edited copies count each. Null and empty texts have no words and fail.
     """
     return _verdicts(docs, key, text, source).drop("_k", "_h")
 
@@ -77,12 +77,11 @@ def _verdicts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     host = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("-"))
     measures = [c.alias(n) for n, c in base_measures(F.col(text)).items()]
     measured = docs.select(F.monotonically_increasing_id().alias("row"), *row_key(key, text), F.col(key).alias("key"), host.alias("host"), short_lines(F.col(text)).alias("lines"), *measures)
-    measured = materialize(measured)
-    least = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))
-    lines = measured.select("row", "host", F.slice(least, 1, 2).alias("least"), F.explode("lines").alias("line")).where(F.col("line.words") <= LINE_WORDS)
-    lines = lines.select("row", "host", "line.h", "line.words", F.when(F.col("line.h") == F.get("least", F.lit(0)), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0))).alias("rest"))
+    document = F.substring(F.md5(F.array_join(F.transform("lines", lambda x: x["h"]), "")), 1, 16)
+    measured = materialize(measured.withColumn("document", document))
+    lines = measured.select("row", "host", "document", F.explode("lines").alias("line")).where(F.col("line.words") <= LINE_WORDS).select("row", "host", "document", "line.h", "line.words")
     sizes = measured.groupBy("host").agg(F.count("*").alias("documents"))
-    often = lines.groupBy("host", "h", "rest").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > LINE_DOCUMENTS)
+    often = lines.groupBy("host", "h", "document").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > LINE_DOCUMENTS)
     often = often.join(sizes, "host").where(F.col("n") > LINE_SHARE * F.col("documents")).select("host", "h")
     gone = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("words").alias("gone"))
     n, gone_words = F.col("_words.n_words"), F.coalesce("gone", F.lit(0)).cast("long")

@@ -51,3 +51,13 @@ def test_keep_returns_whole_rows(spark):
     for r in kept.collect():
         got[str(r["doc_id"])] += 1
     assert got == want and got["50"] == 2
+
+
+def test_distinct_documents_of_shared_lines(spark):
+    """One own line each, and 30 shared ones, which hash lower than most own ones."""
+    shared = "\n".join(prose(5000 + i, 7).replace("\n", " ") for i in range(30))
+    table = [(i, f"{shared}\nown line of page {chr(97 + i // 26)}{chr(97 + i % 26)}", "en", "shop", 0) for i in range(60)]
+    table += [(100 + i, f"{shared}\nthe same page", "en", "few", 0) for i in range(60)]  # copies of one document
+    got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(table, SCHEMA)).collect()}
+    assert all(got[i]["n_boilerplate_words"] == 210 and not got[i]["kept"] for i in range(60))
+    assert all(got[100 + i]["n_boilerplate_words"] == 0 for i in range(60))
