@@ -10,8 +10,8 @@ from sparkcomm.session import materialize
 
 #: Base rules: fewest words; most words, in percent, that stand in windows of WINDOW words found twice or more.
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-#: A line of at most LINE_WORDS words is boilerplate of its host if it stands in more than LINE_DOCUMENTS distinct
-#: documents there and in more than LINE_SHARE of them.
+#: A line is boilerplate of its host if it stands in more than LINE_DOCUMENTS distinct documents there and in more than
+#: LINE_SHARE of them. LINE_WORDS bounds the lines of the SQL twin only.
 LINE_WORDS, LINE_DOCUMENTS, LINE_SHARE = 20, 10, 0.001
 #: A document is depleted if fewer than MIN_WORDS words or less than this share of them are left without such lines.
 LEFT_SHARE = 0.2
@@ -79,7 +79,7 @@ def _verdicts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     measured = docs.select(F.monotonically_increasing_id().alias("row"), *row_key(key, text), F.col(key).alias("key"), host.alias("host"), short_lines(F.col(text)).alias("lines"), *measures)
     document = F.substring(F.md5(F.array_join(F.transform("lines", lambda x: x["h"]), "")), 1, 16)
     measured = materialize(measured.withColumn("document", document))
-    lines = measured.select("row", "host", "document", F.explode("lines").alias("line")).where(F.col("line.words") <= LINE_WORDS).select("row", "host", "document", "line.h", "line.words")
+    lines = measured.select("row", "host", "document", F.explode("lines").alias("line")).select("row", "host", "document", "line.h", "line.words")
     sizes = measured.groupBy("host").agg(F.count("*").alias("documents"))
     often = lines.groupBy("host", "h", "document").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > LINE_DOCUMENTS)
     often = often.join(sizes, "host").where(F.col("n") > LINE_SHARE * F.col("documents")).select("host", "h")

@@ -61,3 +61,10 @@ def test_distinct_documents_of_shared_lines(spark):
     got = {r["doc_id"]: r for r in quality.assess(spark.createDataFrame(table, SCHEMA)).collect()}
     assert all(got[i]["n_boilerplate_words"] == 210 and not got[i]["kept"] for i in range(60))
     assert all(got[100 + i]["n_boilerplate_words"] == 0 for i in range(60))
+
+
+def test_long_lines_are_counted(spark):
+    legal = prose(6000, 60).replace("\n", " ")
+    table = [(i, f"{prose(6100 + i, 5)}\n{legal}", "en", "shop", 0) for i in range(30)]
+    got = quality.assess(spark.createDataFrame(table, SCHEMA)).collect()
+    assert all(r["n_boilerplate_words"] == 60 and not r["kept"] for r in got)
