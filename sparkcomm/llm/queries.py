@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcomm.llm import bpe, fingerprints, html, language, mixing, near_duplicates, quality, scoring, secrets, token_counts
+from sparkcomm.llm import bpe, contamination, fingerprints, html, language, mixing, near_duplicates, prefix_trie, quality, runs, scoring, secrets, token_counts
 from sparkcomm.llm.common import crc_mod
 
 
@@ -72,6 +72,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.find_runs(runs.repeat_tails(_documents(spark, sf_dir)))
+    # the longest run; of equally long ones the first, then that of the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    rows = rows.withColumn("best", best).withColumns({"start": -F.col("best.start"), "length": F.col("best.length"), "period": -F.col("best.period")})
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.conversations(turns)))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = contamination.scan(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +115,9 @@ QUERIES = {
     "op8_html_text": op8,
     "op9_near_duplicates": op9,
     "op10_token_counts": op10,
+    "op11_periodic_runs": op11,
+    "op12_prefix_trie": op12,
+    "op13_benchmark_spans": op13,
     "pipeline": pipeline,
 }
 
@@ -217,4 +246,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     AND NOT (n_words - gone < {quality.MIN_WORDS} OR n_words - gone < {quality.LEFT_SHARE} * n_words) AS kept
 FROM base"""
 
-SQL = {"op1_mix_sources": _OP1, "op4_secret_scan": _OP4, "op5_fingerprints": _OP5, "op6_quality_rules": _OP6}
+#: crc32 of the decimal digits in s: bytes and eight shifts each, taken in turn.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(s, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda v, x: CASE WHEN x >= 0 THEN xor(v, x) ELSE xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
+_OP12 = f"""
+WITH o AS (
+  SELECT conv_id, turn, strlen(coalesce(text, '')) AS n, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k, n) AS ks, list(n ORDER BY turn NULLS FIRST, k, n) AS ns FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, CAST({_CRC} % 9 AS INTEGER) AS h FROM (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM a)),
+c AS (
+  SELECT a.conv_id, list_concat(coalesce(b.ks[1:h], []), a.ks[h + 1:]) AS ks, list_concat(coalesce(b.ns[1:h], []), a.ns[h + 1:]) AS ns
+  FROM a JOIN h USING (conv_id) LEFT JOIN a b ON b.conv_id = a.conv_id - a.conv_id % 5),
+r AS (
+  SELECT conv_id, d, d = len(ks) AS final, md5(array_to_string(ks[1:d], '')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(ks[1:d - 1], '')) END AS up, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS n
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM c)),
+nodes AS (
+  SELECT k, d, up, n, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (final) AS ends FROM r GROUP BY k, d, up, n),
+kids AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+own AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+sums AS (
+  SELECT r.k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * own.n) AS saved FROM own JOIN r ON r.conv_id = own.conv_id AND r.d <= own.d GROUP BY r.k)
+SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN sums USING (k) LEFT JOIN nodes up ON up.k = own.up"""
+
+_WORD13 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD13}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD13}') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT item_id, w, least(len(w), {contamination.WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {contamination.WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT r, i, n, item_id FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM places) JOIN win USING (n, k)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+SQL = {
+    "op1_mix_sources": _OP1,
+    "op4_secret_scan": _OP4,
+    "op5_fingerprints": _OP5,
+    "op6_quality_rules": _OP6,
+    "op12_prefix_trie": _OP12,
+    "op13_benchmark_spans": _OP13,
+}
