@@ -182,10 +182,10 @@ def _(spark, sf):
     return table.interactions.select("ligand", "receptor", "model_score", "density_rank", "warning")
 
 
-# --- N: which supplier ships which part in bulk -------------------------------------------
+# --- N: which supplier ships which part ---------------------------------------------------
 
 def _bulk(spark, sf):
-    l = r.read(spark, sf, "lineitem").where("l_quantity > 40").join(r.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(r.read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    l = r.read(spark, sf, "lineitem").join(r.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(r.read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     l = l.join(r.read(spark, sf, "embeddings").select(F.col("vec_id").alias("l_partkey")), "l_partkey", "left_semi").join(r.read(spark, sf, "embeddings").select(F.col("vec_id").alias("l_suppkey")), "l_suppkey", "left_semi")
     u = lambda tag, c: F.round(hash_unit(F.lit(tag), F.col(c)), 3)
     return l.select(
@@ -200,8 +200,9 @@ def bulk(spark, sf):
 
 
 def species_embeddings(spark, sf):
-    """The vectors once per species, as background genes are looked for per species."""
-    return embeddings(spark, sf).join(bulk(spark, sf).select("species").distinct())
+    """The vectors once per species, and again under names that no pair has: background genes are looked for per species."""
+    unseen = embeddings(spark, sf).withColumn("gene_id", F.concat(F.lit("unseen "), "gene_id"))
+    return embeddings(spark, sf).unionByName(unseen).join(bulk(spark, sf).select("species").distinct())
 
 
 def pairs(spark, sf):
@@ -214,7 +215,7 @@ def _u(tag: str, c: str) -> str:
 
 BULK = f"""bulk AS (SELECT DISTINCT l_returnflag AS species, 'c' AS clade, 'db;line ' || l_linestatus AS resource, CAST(l_partkey AS VARCHAR) AS lg, CAST(l_suppkey AS VARCHAR) AS rg, p_brand AS lf, 'n' || s_nationkey AS rf,
   {_u('role', 'l_partkey')} AS lr, {_u('role', 'l_suppkey')} AS rr, {_u('expr', 'l_partkey')} AS le, {_u('expr', 'l_suppkey')} AS re
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40 AND l_partkey IN (SELECT vec_id FROM embeddings) AND l_suppkey IN (SELECT vec_id FROM embeddings))"""
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey IN (SELECT vec_id FROM embeddings) AND l_suppkey IN (SELECT vec_id FROM embeddings))"""
 
 
 @query("n1_positive_pairs", r.with_sql(BULK) + "SELECT species, resource, lg AS ligand_gene, rg AS receptor_gene, lf AS ligand_family, rf AS receptor_family, CAST(lr AS VARCHAR) AS ligand_role_score FROM bulk")
@@ -405,26 +406,25 @@ def _(spark, sf):
     return tr.role_training_labels(bulk(spark, sf), embeddings(spark, sf)).select("gene_id", "ligand_like", "membrane_like")
 
 
-def _small_roles(spark, sf):
-    few = bulk(spark, sf).where("species = 'R'")
-    return tr.role_training_labels(few, embeddings(spark, sf))
+def _role_labels(spark, sf):
+    return tr.role_training_labels(bulk(spark, sf), embeddings(spark, sf))
 
 
 @query("n5_n6_role_models")
 def _(spark, sf):
-    models = tr.train_role_classifiers(_small_roles(spark, sf), ("receptor_like",))
+    models = tr.train_role_classifiers(_role_labels(spark, sf), ("receptor_like",))
     proteins = embeddings(spark, sf).select("gene_id", F.col("gene_id").alias("protein_id"))
     return tr.predict_protein_roles(proteins, embeddings(spark, sf), models=models)
 
 
 @query("n7_role_holdout")
 def _(spark, sf):
-    return tr.role_holdout(_small_roles(spark, sf), "receptor_like")
+    return tr.role_holdout(_role_labels(spark, sf), "receptor_like")
 
 
 @query("n8_n16_ranker_card")
 def _(spark, sf):
-    trained = tr.train_lr_link_predictor(bulk(spark, sf), embeddings(spark, sf), model="logistic", validation_splits=("leave_species_out",), negative_ratio=1, excluded_homology_radius="none", max_folds=1)
+    trained = tr.train_lr_link_predictor(bulk(spark, sf), embeddings(spark, sf), model="logistic", validation_splits=("leave_species_out",), negative_ratio=1, excluded_homology_radius="none")
     return tr.model_card_table(trained)
 
 

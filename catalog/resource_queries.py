@@ -97,9 +97,10 @@ def _(spark, sf):
     return wr.bridge_interactions(rows, lr).select("source", "target", "interaction_name", "interaction_name_2", "pathway_name", "prob", "pval")
 
 
-@query("b1_b2_normalize_lr", r.with_sql(SUP) + "SELECT lig AS ligand, rec AS receptor, MIN(cat) AS annotation, '' AS evidence, 'unknown' AS pathway FROM sup WHERE refs = '' GROUP BY 1, 2")
+@query("b1_b2_normalize_lr", r.with_sql(SUP) + """, f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lig, rec ORDER BY cat, refs) AS p FROM sup)
+SELECT lig AS ligand, rec AS receptor, cat AS annotation, refs AS evidence, 'unknown' AS pathway FROM f WHERE p = 1""")
 def _(spark, sf):
-    raw = supplies(spark, sf).where("references = ''").select("source_genesymbol", "target_genesymbol", F.col("category_intercell_source").alias("category"), F.col("references"))
+    raw = supplies(spark, sf).select("source_genesymbol", "target_genesymbol", F.col("category_intercell_source").alias("category"), F.col("references"))
     return lt.normalize_lr_table(raw, check=False).select("ligand", "receptor", "annotation", "evidence", "pathway")
 
 
@@ -233,10 +234,10 @@ def _proteins(spark, sf):
     """Sequences for brands and types, by nation of the suppliers that ship them."""
     s = supplies(spark, sf)
     ends = s.select(F.col("nation").alias("species"), F.trim("source_genesymbol").alias("gene_id"), "qty").union(s.select("nation", "p_type", "qty"))
-    return ends.where("qty < 2").select("species", "gene_id", F.concat_ws("-", "species", "gene_id").alias("protein_id"), F.upper("gene_id").alias("protein_sequence")).distinct()
+    return ends.select("species", "gene_id", F.concat_ws("-", "species", "gene_id").alias("protein_id"), F.upper("gene_id").alias("protein_sequence")).distinct()
 
 
-PROT = "prot AS (SELECT DISTINCT nation AS species, g AS gene_id FROM (SELECT nation, lig AS g, qty FROM sup UNION ALL SELECT nation, rec, qty FROM sup) WHERE qty < 2)"
+PROT = "prot AS (SELECT DISTINCT nation AS species, g AS gene_id FROM (SELECT nation, lig AS g, qty FROM sup UNION ALL SELECT nation, rec, qty FROM sup))"
 
 
 @query("c8_c9_c10_sequences", r.with_sql(SUP, TRAIN, PROT) + """SELECT t.species, t.ligand_gene, t.receptor_gene, t.pathway, t.species || '-' || t.ligand_gene AS ligand_protein_id, upper(t.receptor_gene) AS receptor_sequence FROM train t

@@ -1,13 +1,12 @@
 """Centrality of group networks, for many networks at once.
 
 A network is ``(network_id, source, target, value)`` over its groups. Powers of the network
-matrix are taken by repeated squaring, so a power iteration of 2**k steps, or shortest paths of
-up to 2**k hops, cost k join-and-aggregate rounds instead of 2**k.
+matrix are taken by repeated squaring, so a power iteration of 2**k steps costs k join-and-aggregate
+rounds instead of 2**k. Shortest paths go hop by hop over the links.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,46 +89,58 @@ def _close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b))
 
 
+def _distances(loops: DataFrame, edges: DataFrame) -> DataFrame:
+    """(network, i, j, v): length of the shortest path. Only entries that got shorter are carried along the links, so a hop costs
+    at most links x sources rows."""
+    d = frontier = loops
+    while True:
+        step = frontier.select(ID, "i", F.col("j").alias("k"), F.col("v").alias("x")).join(edges.select(ID, F.col("i").alias("k"), "j", F.col("v").alias("w")), [ID, "k"])
+        both = d.select(ID, "i", "j", "v", F.col("v").alias("old")).unionAll(step.select(ID, "i", "j", (F.col("x") + F.col("w")).alias("v"), F.lit(None).cast("double").alias("old")))
+        d = materialize(both.groupBy(ID, "i", "j").agg(F.min("v").alias("v"), F.min("old").alias("old")))
+        frontier = d.where("old IS NULL OR v < old")
+        if frontier.isEmpty():
+            return d.drop("old")
+
+
+def _waves(start: DataFrame, links: DataFrame, value: Column) -> DataFrame:
+    """Sum over all hops of what ``start`` (network, i, k, c) sends along the links (network, i, k, j), a wave of at most
+    nodes x sources rows a hop; ``value`` is what a link passes on."""
+    waves, last = [start], start
+    while True:
+        last = materialize(last.join(links, [ID, "i", "k"]).groupBy(ID, "i", "j").agg(F.sum(value).alias("c")).withColumnRenamed("j", "k"))
+        if last.isEmpty():
+            break
+        waves.append(last)
+    total = waves[0]
+    for wave in waves[1:]:
+        total = total.unionAll(wave)
+    return total.groupBy(ID, "i", "k").agg(F.sum("c").alias("c"))
+
+
 def betweenness(net: DataFrame) -> DataFrame:
     """Share of shortest paths through each group, link strength taken as length, normalised.
 
-    Distances by min-plus squaring, then path counts hop by hop over the tight links.
+    Path counts go forward over the links that lie on shortest paths of a source, and the shares of the paths beyond a group
+    come back over the same links, for all sources and networks at once. No triple of groups is formed.
     """
     nodes = materialize(_nodes(net))
     size = nodes.groupBy(ID).agg(F.count(F.lit(1)).alias("n"))
-    largest = size.agg(F.max("n")).first()[0] or 1
     loops = nodes.select(ID, F.col("group").alias("i"), F.col("group").alias("j"), F.lit(0.0).alias("v"))
     edges = materialize(_edges(net).where("i <> j"))
-    d = edges.unionByName(loops)
-    for _ in range(max(1, math.ceil(math.log2(max(largest, 2))))):
-        d = materialize(d)
-        d = _product(d, d, "min")
-    d = materialize(d)
-    # a link (k, j) is tight for source i when it lies on a shortest path
-    ik = d.select(ID, "i", F.col("j").alias("k"), F.col("v").alias("dik"))
-    kj = edges.select(ID, F.col("i").alias("k"), "j", F.col("v").alias("w"))
-    tight = ik.join(kj, [ID, "k"]).join(d.withColumnRenamed("v", "dij"), [ID, "i", "j"])
-    tight = materialize(tight.where(_close(F.col("dik") + F.col("w"), F.col("dij"))).select(ID, "i", "k", "j"))
-    paths = loops.select(ID, "i", "j", F.lit(1.0).alias("c"))
-    layers = [paths]
-    for _ in range(int(largest)):
-        step = layers[-1].select(ID, "i", F.col("j").alias("k"), "c").join(tight, [ID, "i", "k"]).groupBy(ID, "i", "j").agg(F.sum("c").alias("c"))
-        step = materialize(step)
-        if step.isEmpty():
-            break
-        layers.append(step)
-    counted = layers[0]
-    for layer in layers[1:]:
-        counted = counted.unionByName(layer)
-    sigma = materialize(counted.groupBy(ID, "i", "j").agg(F.sum("c").alias("c")).join(d, [ID, "i", "j"]))
-    st = sigma.select(ID, F.col("i").alias("s"), F.col("j").alias("t"), F.col("c").alias("c_st"), F.col("v").alias("d_st"))
-    sv = sigma.select(ID, F.col("i").alias("s"), F.col("j").alias("x"), F.col("c").alias("c_sv"), F.col("v").alias("d_sv"))
-    vt = sigma.select(ID, F.col("i").alias("x"), F.col("j").alias("t"), F.col("c").alias("c_vt"), F.col("v").alias("d_vt"))
-    on = sv.join(vt, [ID, "x"]).where("s <> x AND x <> t AND s <> t").join(st, [ID, "s", "t"])
-    on = on.where(_close(F.col("d_sv") + F.col("d_vt"), F.col("d_st")))
-    share = on.groupBy(ID, F.col("x").alias("group")).agg(F.sum(F.col("c_sv") * F.col("c_vt") / F.col("c_st")).alias("b"))
+    d = _distances(loops, edges)
+    from_ = d.select(ID, "i", F.col("j").alias("k"), F.col("v").alias("dik"))
+    link = from_.join(edges.select(ID, F.col("i").alias("k"), "j", F.col("v").alias("w")), [ID, "k"]).join(d.withColumnRenamed("v", "dij"), [ID, "i", "j"])
+    tight = materialize(link.where(_close(F.col("dik") + F.col("w"), F.col("dij"))).select(ID, "i", "k", "j"))
+    paths = materialize(_waves(loops.select(ID, "i", F.col("j").alias("k"), F.lit(1.0).alias("c")), tight, F.col("c")))
+    # a group's share of the paths to the one after it
+    ends = paths.select(ID, "i", F.col("k").alias("j"), F.col("c").alias("cj"))
+    share = tight.join(paths, [ID, "i", "k"]).join(ends, [ID, "i", "j"]).select(ID, "i", F.col("j").alias("k"), F.col("k").alias("j"), (F.col("c") / F.col("cj")).alias("share"))
+    share = materialize(share)
+    first = share.groupBy(ID, "i", "j").agg(F.sum("share").alias("c")).withColumnRenamed("j", "k")
+    beyond = _waves(first, share, F.col("c") * F.col("share")).where("i <> k")
+    through = beyond.groupBy(ID, F.col("k").alias("group")).agg(F.sum("c").alias("b"))
     scale = F.when(F.col("n") > 2, 1.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
-    out = nodes.join(share, [ID, "group"], "left").join(size, ID)
+    out = nodes.join(through, [ID, "group"], "left").join(size, ID)
     return out.select(ID, "group", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
