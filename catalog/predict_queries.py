@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from sparkcomm.operators.saved_models import load_pair_model
+from sparkcomm.session import shared_folder
 from sparkcomm.functions.hashing import hash_unit
 from sparkcomm.operators import candidates as ca
 from sparkcomm.operators import ranking as rk
@@ -424,8 +428,9 @@ def _(spark, sf):
 
 @query("n8_n16_ranker_card")
 def _(spark, sf):
-    trained = tr.train_lr_link_predictor(bulk(spark, sf), embeddings(spark, sf), model="logistic", validation_splits=("leave_species_out",), negative_ratio=1, excluded_homology_radius="none")
-    return tr.model_card_table(trained)
+    path = f"{shared_folder(spark).rstrip('/')}/sparkcomm/ranker-{uuid.uuid4().hex}"
+    tr.train_lr_link_predictor(bulk(spark, sf), embeddings(spark, sf), model="logistic", validation_splits=("leave_species_out",), negative_ratio=1, excluded_homology_radius="none", output_dir=path)
+    return load_pair_model(spark, path).card
 
 
 @query("m9_model_scores")

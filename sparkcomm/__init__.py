@@ -26,6 +26,7 @@ from .operators.patterns import (
 from .operators.proteins import load_cds_translations, load_protein_fasta, match_expression_genes, protein_table_from_genes
 from .operators.ranking import quality_gates
 from .operators.resources import build_lr_training_table, load_training_lr_resources, training_lr_to_lr_table
+from .operators.saved_models import PairModel, RoleModels, load_pair_model, load_role_models, pair_model, train_protein_role_models
 from .operators.summaries import compute_pathway_communication
 from .operators.training import predict_protein_roles, train_lr_link_predictor, train_role_classifiers
 from .plans.communication import compute_communication
@@ -36,13 +37,13 @@ from .sources.readers import from_rank_aggregate_results, load_lr_table, lr_from
 from .sources.writers import export_bridge_merged, export_bridge_tables
 
 __all__ = [
-    "CommResult", "DiffResult", "LRTable", "PatternResult", "SpatialReport", "TrainingTable",
+    "CommResult", "DiffResult", "LRTable", "PairModel", "PatternResult", "RoleModels", "SpatialReport", "TrainingTable",
     "build_lr_training_table", "build_predicted_lr_table", "communication_pattern_matrix", "compare_communication", "compare_samples",
     "compute_communication", "compute_communication_patterns", "compute_dbfree_communication", "compute_pathway_clusters",
     "compute_pathway_communication", "compute_pathway_embedding", "compute_pathway_similarity", "estimate_lr_density_prior",
     "evaluate_predicted_lr_density_prior", "export_bridge_merged", "export_bridge_tables", "filter_lr_table", "from_rank_aggregate_results",
     "generate_lr_candidates", "identify_overexpressed_genes", "identify_overexpressed_interactions", "load_cds_translations", "load_lr_table",
-    "load_protein_fasta", "load_training_lr_resources", "lr_from_db_tables", "lr_from_intercell", "make_lr_pair_features", "match_expression_genes",
+    "load_pair_model", "load_protein_fasta", "load_role_models", "pair_model", "train_protein_role_models", "load_training_lr_resources", "lr_from_db_tables", "lr_from_intercell", "make_lr_pair_features", "match_expression_genes",
     "normalize_lr_table", "pairwise_pathway_embedding", "predict_lr_dbfree", "predict_protein_roles", "protein_table_from_genes", "quality_gates",
     "rank_pathway_similarity", "read_expression_mtx", "score_lr_candidates", "select_communication_pattern_number", "select_signaling_genes",
     "signaling_changes", "signaling_expression_frame", "signaling_expression_values", "train_lr_link_predictor", "train_role_classifiers",

@@ -11,6 +11,7 @@ from ..functions.text import append_warnings
 from ..model import CommResult, LRTable
 from ..operators import candidates as ca
 from ..operators import proteins as pr
+from ..operators.saved_models import PairModel, RoleModels, load_pair_model, load_role_models
 from ..operators.training import predict_protein_roles
 from .communication import compute_communication
 
@@ -58,7 +59,23 @@ def predict_lr_dbfree(
     allow_low_score_density_fill: bool = False,
     **candidate_options: Any,
 ) -> LRTable:
-    """Roles, candidates, scores and selection. Embeddings are an input table."""
+    """Roles, candidates, scores and selection. Embeddings are an input table.
+
+    ``model`` and ``role_models`` may be saved folders (or a loaded PairModel and RoleModels). A saved ranker brings its PCA, calibrator and
+    references, and its density prior where ``density_prior`` is "auto".
+    """
+    spark = expression.sparkSession
+    if isinstance(model, str) and model != "heuristic":
+        model = load_pair_model(spark, model)
+    if isinstance(model, PairModel):
+        pca, calibrator, references = model.pca, model.calibrator, model.references
+        if isinstance(density_prior, str) and density_prior == "auto" and model.density_prior is not None:
+            density_prior = model.density_prior
+        model = model.model
+    if isinstance(role_models, str) and role_models != "heuristic":
+        role_models = load_role_models(spark, role_models)
+    if isinstance(role_models, RoleModels):
+        role_models = role_models.models
     bypass = role_models is None
     if bypass and (ligand_candidates is None or receptor_candidates is None):
         raise ValueError("Bypassing the role model requires both `ligand_candidates` and `receptor_candidates`.")
