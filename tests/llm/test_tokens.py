@@ -25,27 +25,37 @@ def test_ids_and_round_trip(spark, encoding):
     assert bpe.encode(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_merge_of_long_and_random_pieces(encoding):
+def test_merge_of_long_and_random_pieces(encoding, monkeypatch):
     import random
 
     rng, ranks = random.Random(3), bpe.read_ranks(RANKS)
     pieces = ["".join(rng.choice("abcehinorst") for _ in range(n)) for n in (1, 2, 3, 17, 200, 3000)] + ["aaaaaaa", "abababab", "ééé", "thethethe"]
-    for piece in pieces:
-        assert bpe.merge(piece.encode(), ranks) == encoding.encode_ordinary(piece)
+    pieces += ["".join(rng.choice("aehinorst \0é") for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    pieces += ["".join(rng.choice(["ab", "a", "the", "x", "ing"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    want = [encoding._encode_single_piece(p.encode()) for p in pieces]
+    for short in (0, 40, bpe.SHORT, 10_000):
+        monkeypatch.setattr(bpe, "SHORT", short)
+        ids, sizes = bpe.merge([p.encode() for p in pieces], bpe.Vocabulary(ranks))
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == list(map(len, want))
 
 
 def test_texts_beyond_the_piecewise_limit(encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "LONG_TEXT", 10)
-    text = prose(5, 500)
-    assert bpe.encode_text(text, *bpe.encoder(RANKS, public_tokenizers.PATTERN)).tolist() == encoding.encode_ordinary(text)
+    for limit in (10, 700, 5_000):
+        monkeypatch.setattr(bpe, "LONG_TEXT", limit)
+        texts = [prose(5, 500), None, "", *(prose(i, 90) for i in range(20)), prose(6, 600), ""]
+        got = bpe.encode_texts(texts, *bpe.encoder(RANKS, public_tokenizers.PATTERN))
+        assert [x.tolist() for x in got] == [encoding.encode_ordinary(t or "") for t in texts]
 
 
 def test_cache_stays_bounded(encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 40)
     cache = bpe.Cache(bpe.read_ranks(RANKS))
-    for w in prose(6, 300).split():
-        assert cache[w].tolist() == encoding.encode_ordinary(w)
-        assert len(cache) <= 5
+    for i in range(40):
+        pieces = [*prose(i, 30).split(), "x" * 100]
+        ids, sizes = cache.ids(pieces)
+        want = [encoding.encode_ordinary(p) for p in pieces]
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == list(map(len, want))
+        assert len(cache) <= 40
 
 
 def test_rank_queue_pops_the_bucket_of_the_smallest_rank():
