@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Worker cache of pre-tokens: entries, and ids of them, beyond which it is emptied.
-CACHE_ENTRIES, CACHE_IDS = 200_000, 4_000_000
+CACHE_ENTRIES, CACHE_IDS = 120_000, 2_000_000
 #: Texts beyond this many characters are split into pre-tokens piece by piece.
 LONG_TEXT = 1 << 20
 #: Rows, and characters of their texts, that are encoded together.
-ROWS, TOGETHER = 2_000, 1 << 21
+ROWS, TOGETHER = 1_000, 1 << 20
 
 
 class RankQueue:
