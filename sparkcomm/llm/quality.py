@@ -11,8 +11,8 @@ from sparkcomm.session import materialize
 #: Base rules: fewest words; most words, in percent, that stand in windows of WINDOW words found twice or more.
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
 #: A line is boilerplate of its host if it stands in more than LINE_DOCUMENTS distinct documents there and in more than
-#: LINE_SHARE of them. LINE_WORDS bounds the lines of the SQL twin only.
-LINE_WORDS, LINE_DOCUMENTS, LINE_SHARE = 20, 10, 0.001
+#: LINE_SHARE of them.
+LINE_DOCUMENTS, LINE_SHARE = 10, 0.001
 #: A document is depleted if fewer than MIN_WORDS words or less than this share of them are left without such lines.
 LEFT_SHARE = 0.2
 
@@ -47,7 +47,7 @@ def base_measures(text: Column) -> dict[str, Column]:
     }
 
 
-def short_lines(text: Column) -> Column:
+def normal_lines(text: Column) -> Column:
     """(h, words) of the lines with a word: lower case, digits as 0, white space as one space; a hash of each."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "123456789", "000000000")
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
@@ -76,7 +76,7 @@ def keep(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
 def _verdicts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     host = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("-"))
     measures = [c.alias(n) for n, c in base_measures(F.col(text)).items()]
-    measured = docs.select(F.monotonically_increasing_id().alias("row"), *row_key(key, text), F.col(key).alias("key"), host.alias("host"), short_lines(F.col(text)).alias("lines"), *measures)
+    measured = docs.select(F.monotonically_increasing_id().alias("row"), *row_key(key, text), F.col(key).alias("key"), host.alias("host"), normal_lines(F.col(text)).alias("lines"), *measures)
     document = F.substring(F.md5(F.array_join(F.transform("lines", lambda x: x["h"]), "")), 1, 16)
     measured = materialize(measured.withColumn("document", document))
     lines = measured.select("row", "host", "document", F.explode("lines").alias("line")).select("row", "host", "document", "line.h", "line.words")

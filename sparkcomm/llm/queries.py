@@ -224,17 +224,15 @@ reps AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(0, {quality
 raw AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 norm AS (
-  SELECT doc_id, trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS l FROM (
-    SELECT doc_id, unnest(string_split(translate(lower(t), '123456789', '000000000'), chr(10))) AS l FROM d)),
-hashed AS (SELECT doc_id, substr(md5(l), 1, 16) AS h, len(string_split(l, ' ')) AS words FROM norm WHERE l <> ''),
-least AS (SELECT doc_id, list_sort(list_distinct(list(h))) AS a FROM hashed GROUP BY doc_id),
-short AS (
-  SELECT s.doc_id, d.host, s.h, s.words, CASE WHEN s.h = a[1] THEN a[2] ELSE a[1] END AS rest
-  FROM hashed s JOIN least USING (doc_id) JOIN d USING (doc_id) WHERE words <= {quality.LINE_WORDS}),
+  SELECT doc_id, i, trim(regexp_replace(ls[i], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS l FROM (
+    SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(translate(lower(t), '123456789', '000000000'), chr(10)) AS ls FROM d))),
+hashed AS (SELECT doc_id, i, substr(md5(l), 1, 16) AS h, len(string_split(l, ' ')) AS words FROM norm WHERE l <> ''),
+whole AS (SELECT doc_id, substr(md5(string_agg(h, '' ORDER BY i)), 1, 16) AS document FROM hashed GROUP BY doc_id),
+line AS (SELECT h.doc_id, d.host, h.h, h.words, document FROM hashed h JOIN whole USING (doc_id) JOIN d USING (doc_id)),
 often AS (
-  SELECT host, h FROM (SELECT DISTINCT host, h, rest FROM short) JOIN (SELECT host, count(*) AS documents FROM d GROUP BY host) USING (host) GROUP BY host, h, documents
+  SELECT host, h FROM (SELECT DISTINCT host, h, document FROM line) JOIN (SELECT host, count(*) AS documents FROM d GROUP BY host) USING (host) GROUP BY host, h, documents
   HAVING count(*) > {quality.LINE_DOCUMENTS} AND count(*) > {quality.LINE_SHARE} * documents),
-gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM short JOIN often USING (host, h) GROUP BY doc_id),
+gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM line JOIN often USING (host, h) GROUP BY doc_id),
 base AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
