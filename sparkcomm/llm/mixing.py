@@ -65,16 +65,16 @@ def targets(totals: DataFrame, *, share: float = 1.5, epochs: int = 2, schedules
 def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, epochs: int = 2, schedules: tuple[Schedule, ...] = SCHEDULES, seed: str = "mix", carry: bool = False) -> DataFrame:
     """What the mix takes of each document: key, source, size, source_size, target, taken, takes.
 
-    Size counts words; null and empty texts have none. A source's documents stand in the order of a hash of seed and
-    key, ``epochs`` times over, and the mix takes this stream up to the target, so at most one document of a source is
+    Size counts words; null and empty texts have none. A source's documents stand in the order of a hash of seed, key and
+    text, ``epochs`` times over, and the mix takes this stream up to the target, so at most one document of a source is
     taken in part, and none more than ``epochs`` times. ``takes`` lists (epoch, words, position); a position is
-    the training time at which the source's schedule asks for the middle word. Null sources are one source. Rows that
-    share a key stand side by side. ``carry`` adds the whole row as the struct ``row``.
+    the training time at which the source's schedule asks for the middle word. Null sources are one source. Equal
+    rows stand side by side. ``carry`` adds the whole row as the struct ``row``.
 
     Running totals go over three steps (256 coarse, 65,536 fine hash ranges of a source, then rows), so that no task
     orders a whole source.
     """
-    h = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    h = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))))
     rows = docs.select(
         F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         h.alias("h"), F.xxhash64(text).alias("th"), *([F.struct("*").alias("row")] if carry else []),
@@ -105,6 +105,14 @@ def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
     return placed.select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.alias("taken"), "takes", *(["row"] if carry else []))
 
 
+def curriculum(docs: DataFrame, **options) -> DataFrame:
+    """The plan in training order: ``position`` is that of a document's first take (null, and last, if it is not taken); ties by key."""
+    key = options.get("key", "doc_id")
+    rows = plan(docs, **options).withColumn("position", F.get("takes", F.lit(0))["position"]).withColumn("_late", F.col("position").isNull())
+    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return rows.repartitionByRange(int(n), "_late", "position", key).sortWithinPartitions("_late", "position", key).drop("_late")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs in training order, as often as the mix takes them, with all their columns.
 

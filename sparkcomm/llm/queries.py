@@ -15,7 +15,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.curriculum(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("position"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,21 +125,22 @@ _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 _OP1 = rf"""
 WITH rows AS (
-  SELECT doc_id, source, CAST(len({_WORDS.format("text")}) AS BIGINT) AS size, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  SELECT doc_id, source, CAST(len({_WORDS.format("text")}) AS BIGINT) AS size, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS h FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
 named AS (
   SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM totals),
 levels AS (
   SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM named WINDOW b AS (ORDER BY source_size / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-wanted AS (SELECT source, source_size, CAST(least(2.0 * source_size, (max(level) OVER ()) * w) AS DOUBLE) AS target FROM levels),
+wanted AS (SELECT source, i, source_size, CAST(least(2.0 * source_size, (max(level) OVER ()) * w) AS DOUBLE) AS target FROM levels),
 placed AS (
-  SELECT r.*, w.source_size, w.target, CAST(floor(round(w.target, 6)) AS BIGINT) AS t,
+  SELECT r.*, w.source_size, w.target, w.i, CAST(floor(round(w.target, 6)) AS BIGINT) AS t,
     CAST(coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st
   FROM rows r JOIN wanted w ON r.source IS NOT DISTINCT FROM w.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-  greatest(least(t - st, size), 0) + greatest(least(t - st - source_size, size), 0) AS taken
-FROM placed"""
+  greatest(least(t - st, size), 0) + greatest(least(t - st - source_size, size), 0) AS taken,
+  CASE WHEN least(t - st, size) > 0 THEN round(least(CASE (i - 1) % 3 WHEN 0 THEN 10 * x / (6 + sqrt(36 - 20 * x)) WHEN 1 THEN x ELSE 2 * x / (0.5 + sqrt(0.25 + 2 * x)) END, 1), 6) END AS position
+FROM (SELECT *, least((st + least(t - st, size) / 2) / greatest(t, 1), 1) AS x FROM placed)"""
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 

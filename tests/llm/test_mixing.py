@@ -1,6 +1,6 @@
 import math
 
-from helpers import SCHEMA, clashing, empty, odd, odd_rows, words
+from helpers import SCHEMA, clashing, empty, odd, odd_rows, prose, words
 
 from sparkcomm.llm import mixing
 
@@ -87,3 +87,15 @@ def test_mixed_rows_come_in_training_order_and_repeat(spark):
     for r in out.collect():
         seen[str(r["doc_id"])] = seen.get(str(r["doc_id"]), 0) + 1
     assert seen == {k: n for k, n in plan.items() if n}
+
+
+def test_curriculum_is_in_training_order(spark):
+    docs = clashing(spark.createDataFrame(odd_rows() + [(100 + i, prose(i, 5 + i % 40), "en", "abcd"[i % 4], 0) for i in range(200)], SCHEMA)).drop("position", "take", "takes", "key")
+    got = mixing.curriculum(docs).collect()
+    assert len(got) == len(odd_rows()) + 200
+    order = [(r["position"] is None, r["position"] or 0.0) for r in got]
+    assert order == sorted(order) and all((r["position"] is None) == (r["taken"] == 0) for r in got)
+    assert all(0 <= r["position"] <= 1 for r in got if r["taken"])
+    fading = [r["position"] for r in got if r["source"] == "a" and r["taken"]]
+    rising = [r["position"] for r in got if r["source"] == "c" and r["taken"]]
+    assert sum(fading) / len(fading) < sum(rising) / len(rising)
