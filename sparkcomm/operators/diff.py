@@ -110,7 +110,7 @@ def align_results(a: CommResult, b: CommResult, mode: str = "union", *, check: b
     if mode == "intersection":
         groups = ga.intersect(gb)
         if check and len(groups.take(2)) < 2:
-            raise ValueError("At least two shared cell groups are required for `align_groups='intersection'`.")
+            raise ValueError("At least two groups must be common to both results to align them by intersection.")
 
         def cut(result: CommResult) -> CommResult:
             rows = result.interactions

@@ -151,7 +151,7 @@ def expression_potential(lr: DataFrame, means: DataFrame, groups: DataFrame, sta
     looks at the pairs.
     """
     if stat not in ("mean", "max", "q90"):
-        raise ValueError(f"Unsupported expression potential statistic: {stat}")
+        raise ValueError(f"`{stat}` is no way to sum up an expression potential.")
     pairs = lr.select("ligand", "receptor").distinct()
     n = groups.agg(F.count(F.lit(1)))
     if stat in ("mean", "max"):

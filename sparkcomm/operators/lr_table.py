@@ -49,7 +49,7 @@ def normalize_lr_table(
     df = canonicalize_lr_columns(df, column_map)
     missing = [c for c in ("ligand", "receptor") if c not in df.columns]
     if missing:
-        raise ValueError(f"LR table is missing required columns: {missing}")
+        raise ValueError(f"These columns of the LR table are absent: {missing}")
     out = df.withColumns({c: F.trim(F.col(c).cast("string")) for c in ("ligand", "receptor")})
     out = out.where((F.col("ligand") != "") & (F.col("receptor") != ""))
     defaults = {"pathway": "unknown", "annotation": "", "evidence": ""}
@@ -60,7 +60,7 @@ def normalize_lr_table(
     rest = [c for c in out.columns if c not in keys and c != order]
     out = first_per_key(out, keys, ([F.col(order)] if order else []) + [F.col(c) for c in rest])
     if check and out.isEmpty():
-        raise ValueError("LR table has no valid ligand-receptor rows after filtering.")
+        raise ValueError("Not one row of the LR table names both a ligand and a receptor.")
     return out
 
 
@@ -80,14 +80,14 @@ def filter_lr_table(
     if resources is not None:
         columns = [c for c in RESOURCE_COLUMNS if c in df.columns]
         if not columns:
-            raise ValueError("No resource/source column is available for filtering.")
+            raise ValueError("Resources cannot be chosen: no column names them.")
         wanted = F.array(*[F.lit(v) for v in as_list(resources)])
         hit = F.lit(False)
         for c in columns:
             hit = hit | F.arrays_overlap(tokens(c, "[;,]"), wanted)
         out = out.where(hit)
     if check and out.isEmpty():
-        raise ValueError("No ligand-receptor rows remain after filtering.")
+        raise ValueError("The filter leaves no row of the LR table.")
     return out
 
 

@@ -134,7 +134,7 @@ def protein_table_from_genes(
 ) -> DataFrame:
     """Protein table from a sequence column of the genes table."""
     if (protein_sequence_key is None) == (cds_sequence_key is None):
-        raise ValueError("Provide exactly one of `protein_sequence_key` or `cds_sequence_key`.")
+        raise ValueError("Name either `protein_sequence_key` or `cds_sequence_key`, not both and not neither.")
     if genetic_code != 1:
         raise ValueError("Only the standard genetic code (`genetic_code=1`) is supported.")
     key = protein_sequence_key or cds_sequence_key
