@@ -92,6 +92,27 @@ def attach_groups(expression: DataFrame, labelled: DataFrame, by: Sequence[str]
     return expression.join(labelled.select("cell_id", "group", *by), "cell_id")
 
 
+def gather_cells(expression: DataFrame, labelled: DataFrame, by: Sequence[str] = (), gene: str = "gene_key") -> DataFrame:
+    """One row per cell: its non-zeros, and the places (``by`` keys and group) it takes.
+
+    The only exchange of expression rows that any number of label runs needs: runs are dealt to these rows in front of the
+    map-side aggregate. A row holds at most as many values as there are genes in use.
+    """
+    values = expression.groupBy("cell_id").agg(F.collect_list(F.struct(gene, "value")).alias("_values"))
+    places = labelled.groupBy("cell_id").agg(F.collect_list(F.struct("group", *by)).alias("_places"))
+    return values.join(places, "cell_id")
+
+
+def cell_places(gathered: DataFrame) -> DataFrame:
+    """Gathered cells, once per place."""
+    return gathered.select("cell_id", "_values", F.inline("_places"))
+
+
+def spread_values(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``(group, keys, gene, value)`` of gathered cells."""
+    return rows.select("group", *keys, F.inline("_values"))
+
+
 def scale_by_max(nz: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Divide by the largest value of the table (of each ``by`` key) when it is positive."""
     return scale_by(nz, nz.groupBy(*by).agg(F.max("value").alias("_max")), by)

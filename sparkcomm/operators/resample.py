@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, hash_long
+from ..session import materialize
 from .ranks import running_totals, select_ranks, top_per_key
 
 
@@ -48,28 +49,47 @@ def shuffled_labels(
 
     Every run keeps the label counts of every stratum exactly. Adds ``run`` and the new label.
     """
-    into = into or label
+    borders = label_borders(items, label, n, id_col=id_col, seed=seed, within=within, run=run)
+    return deal_labels(items, borders, n, id_col=id_col, seed=seed, within=within, run=run, into=into or label)
+
+
+def label_borders(
+    items: DataFrame, label: str, n: int, *, id_col: str, seed: int = 0, within: Sequence[str] = (), run: str = "perm_id"
+) -> DataFrame:
+    """What a label shuffle needs to know: per stratum and run the labels in order, and the first item of every block but one.
+
+    One row per stratum and run, written, so that the planner knows its size.
+    """
     base = items if within else items.withColumn("_all", F.lit(0))
     strata = list(within) or ["_all"]
     counts = base.groupBy(*strata, label).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*strata).orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
     blocks = counts.withColumn("_end", F.sum("_c").over(w)).drop("_c")
     last = Window.partitionBy(*strata).orderBy(F.desc(label))
-    borders = blocks.withColumn("_r", F.row_number().over(last)).where("_r > 1").select(*strata, F.col("_end").alias("rank"))
+    ends = blocks.withColumn("_r", F.row_number().over(last)).where("_r > 1").select(*strata, F.col("_end").alias("rank"))
     labels = blocks.groupBy(*strata).agg(F.transform(F.array_sort(F.collect_list(F.struct("_end", label))), lambda x: x[label]).alias("_labels"))
-
-    def hashed(df: DataFrame) -> DataFrame:
-        return repeat_rows(df, n, run).withColumn("_h", hash_long(seed, F.col(run), F.col(id_col)))
-
-    thin = hashed(base.select(*strata, id_col))
-    wanted = repeat_rows(borders, n, run)
-    found = select_ranks(thin, [*strata, run], ["_h", id_col], hash_bucket(F.col("_h")), wanted)
+    thin = _run_hashes(base.select(*strata, id_col), n, id_col, seed, run)
+    found = select_ranks(thin, [*strata, run], ["_h", id_col], hash_bucket(F.col("_h")), repeat_rows(ends, n, run))
     # the item at a border rank is the first of the next block
     cuts = found.groupBy(*strata, run).agg(F.array_sort(F.collect_list(F.struct("_h", id_col))).alias("_cut"))
+    return materialize(repeat_rows(labels, n, run).join(cuts, [*strata, run], "left").drop("_all"))
+
+
+def deal_labels(
+    rows: DataFrame, borders: DataFrame, n: int, *, id_col: str, seed: int = 0, within: Sequence[str] = (), run: str = "perm_id", into: str = "group"
+) -> DataFrame:
+    """Rows times ``n`` runs with the label that each run deals to the row's item (see :func:`label_borders`).
+
+    The rows may carry anything and are not shuffled while the borders are small enough to broadcast.
+    """
+    out = _run_hashes(rows, n, id_col, seed, run).join(borders, [*within, run])
     at = F.struct(F.col("_h"), F.col(id_col))
-    out = hashed(base).join(cuts, [*strata, run], "left").join(labels, strata)
     passed = F.coalesce(F.size(F.filter("_cut", lambda c: c <= at)), F.lit(0))
-    return out.withColumn(into, F.element_at("_labels", passed.cast("int") + 1)).drop("_h", "_cut", "_labels", "_all")
+    return out.withColumn(into, F.element_at("_labels", passed.cast("int") + 1)).drop("_h", "_cut", "_labels")
+
+
+def _run_hashes(df: DataFrame, n: int, id_col: str, seed: int, run: str) -> DataFrame:
+    return repeat_rows(df, n, run).withColumn("_h", hash_long(seed, F.col(run), F.col(id_col)))
 
 
 def shuffled_values(items: DataFrame, value: str, n: int, *, id_cols: Sequence[str], seed: int = 0, run: str = "iteration") -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import expression as ex
 from ..operators import markers as mk
 from ..operators.lr_table import complex_subunits, filter_lr_to_genes, gene_lookup, lr_expression_genes, normalize_lr_table
 from ..operators.ranks import reaches
-from ..operators.resample import repeat_rows, sample_per_group, shuffled_labels
+from ..operators.resample import deal_labels, label_borders, repeat_rows, sample_per_group
 from ..operators.scoring import PAIR_KEYS, SCORE_METHODS, resolve_complex_aggregate, score_lr
 from ..operators.sketches import summarize_sketches
 
@@ -157,16 +157,24 @@ def compute_communication(
     weights = ex.group_weights(sizes, by) if population_size else None
     near = spatial and distance_decay is not None
 
+    # expression meets its cells once, however many passes and runs follow
+    once = aggregate == "mean" and score_method != "cellchat"
+    if n_permutations > 0:
+        gathered = materialize(ex.gather_cells(nz, labelled, by))
+        placed = ex.cell_places(gathered)
+        plain = ex.spread_values(placed, by)
+    else:
+        plain = ex.attach_groups(nz, labelled, by).select("group", *by, "gene_key", "value")
+        plain = plain if once else materialize(plain)
     # what does not change under a shuffle is taken from the cells in use, once
-    plain = ex.attach_groups(nz, labelled, by)
     top = plain.groupBy(*by).agg(F.max("value").alias("_max")) if score_method == "cellchat" else None
     caps = None
     if aggregate in ("clipped_mean", "gated_mean"):
         caps = ex.positive_quantile_caps(ex.scale_by(plain, top, by), clip_quantile, by, "gene_key")
 
-    def scored(cells_now: DataFrame, keys: list[str], sizes_now: DataFrame) -> DataFrame:
+    def scored(values: DataFrame, cells_now: DataFrame, keys: list[str], sizes_now: DataFrame) -> DataFrame:
         summary = ex.group_expression(
-            ex.scale_by(ex.attach_groups(nz, cells_now, keys), top, by),
+            ex.scale_by(values, top, by),
             sizes_now,
             aggregate=aggregate,
             trim=trim,
@@ -193,11 +201,15 @@ def compute_communication(
             hill=cofactor_hill,
         )
 
-    rows = scored(labelled, by, sizes)
+    rows = scored(plain, labelled, by, sizes)
     if n_permutations > 0:
-        shuffled = shuffled_labels(labelled, "group", n_permutations, id_col="cell_id", seed=random_state, within=by)
+        runs = {"id_col": "cell_id", "seed": random_state, "within": by}
+        borders = label_borders(labelled, "group", n_permutations, **runs)
+        keys = [*by, "perm_id"]
+        dealt = ex.spread_values(deal_labels(placed.drop("group"), borders, n_permutations, **runs), keys)
+        shuffled = deal_labels(labelled, borders, n_permutations, **runs)
         # group sizes do not change under a shuffle
-        null = scored(shuffled, [*by, "perm_id"], repeat_rows(sizes, n_permutations, "perm_id"))
+        null = scored(dealt, shuffled, keys, repeat_rows(sizes, n_permutations, "perm_id"))
         rows = attach_permutation_pvalues(rows, null, n_permutations, by)
     else:
         rows = rows.withColumn("pvalue", F.lit(None).cast("double"))
