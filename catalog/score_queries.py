@@ -12,7 +12,7 @@ from sparkcomm.plans.communication import compute_communication
 
 from . import roles as r
 from .group_queries import (
-    CAPS, DENSE, INTER_COLS, SIZES, NZ, base_result, base_sql, complex_sql, inter_tail, query as _query, round_cols, score_sql, summary_sql, DOUBLES,
+    AGG, CAPS, DENSE, INTER_COLS, SIZES, NZ, base_result, base_sql, complex_sql, inter_tail, query as _query, round_cols, score_sql, summary_sql, DOUBLES,
 )
 
 QUERIES: dict = {}
@@ -302,28 +302,32 @@ def _(spark, sf):
     return shuffled_labels(_labelled(spark, sf), "group", N_PERM, id_col="cell_id", seed=3).select("cell_id", "perm_id", "group")
 
 
-def perm_sql(tail: str) -> str:
+def perm_sql(tail: str, aggregate: str = "mean", n: int = N_PERM) -> str:
+    """CTEs up to ``pv``, the scores with p-values of the first ``n`` label shuffles."""
     return r.with_sql(
-        r.CELLS, r.expr_sql(), r.LR, summary_sql("mean"), complex_sql(), score_sql(), PERM,
-        """pd AS (SELECT c.perm, c.grp, g.gene, COALESCE(e.value, 0) AS value FROM pl c CROSS JOIN (SELECT DISTINCT p_brand AS gene FROM part) g
-  LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene)""",
-        "pg AS (SELECT perm, grp, gene, AVG(value) AS expr, AVG(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS pct FROM pd GROUP BY 1, 2, 3)",
+        r.CELLS, r.expr_sql(), r.LR, summary_sql(aggregate), complex_sql(), score_sql(), PERM,
+        f"""pd AS (SELECT c.perm, c.grp, g.gene, COALESCE(e.value, 0) AS value FROM pl c CROSS JOIN (SELECT DISTINCT p_brand AS gene FROM part) g
+  LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene WHERE c.perm < {n})""",
+        f"pg AS (SELECT perm, grp, gene, {AGG[aggregate]} AS expr, AVG(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS pct FROM pd GROUP BY 1, 2, 3)",
         "pc AS (SELECT perm, g.grp, p.complex, MIN(expr) AS expr, MIN(pct) AS pct FROM pg g JOIN parts p ON g.gene = p.gene GROUP BY 1, 2, 3)",
         """ps AS (SELECT s.perm, s.grp AS source, t.grp AS target, ligand, receptor, pathway, sqrt(s.expr * t.expr) AS prob FROM lr
   JOIN pc s ON ligand = s.complex JOIN pc t ON receptor = t.complex AND s.perm = t.perm WHERE s.expr > 0 AND t.expr > 0 AND s.pct >= 0.05 AND t.pct >= 0.05)""",
         f"""pv AS (SELECT i.source, i.target, i.ligand, i.receptor, i.pathway, i.annotation, i.interaction_name_2, i.prob, i.ligand_expr, i.receptor_expr,
-  (COUNT(CASE WHEN p.prob >= i.prob - 1e-9 * abs(i.prob) THEN 1 END) + 1) / {N_PERM + 1}.0 AS pvalue
+  (COUNT(CASE WHEN p.prob >= i.prob - 1e-9 * abs(i.prob) THEN 1 END) + 1) / {n + 1}.0 AS pvalue
   FROM inter i LEFT JOIN ps p USING (source, target, ligand, receptor, pathway) GROUP BY ALL)""",
     ) + tail
 
 
-@query("f16_permutation_pvalues", perm_sql("SELECT source, target, ligand, receptor, pathway, round(prob, 6) AS prob, round(pvalue, 6) AS pvalue FROM pv"))
+PVALUES = "SELECT source, target, ligand, receptor, pathway, round(prob, 6) AS prob, round(pvalue, 6) AS pvalue FROM pv"
+
+
+@query("f16_permutation_pvalues", perm_sql(PVALUES))
 def _(spark, sf):
     out = base_result(spark, sf, n_permutations=N_PERM, random_state=3).interactions
     return out.select("source", "target", "ligand", "receptor", "pathway", "prob", "pvalue")
 
 
-@query("f16_permutation_tri_mean")
+@query("f16_permutation_tri_mean", perm_sql(PVALUES, "tri_mean", 5))
 def _(spark, sf):
     out = base_result(spark, sf, aggregate="tri_mean", n_permutations=5, random_state=3).interactions
     return out.select("source", "target", "ligand", "receptor", "pathway", "prob", "pvalue")

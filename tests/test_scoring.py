@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sparkcomm.operators import expression as ex
 from sparkcomm.operators import markers as mk
 from sparkcomm.operators.ranks import quantiles, running_totals, top_per_key, value_bucket
-from sparkcomm.operators.resample import shuffled_labels, shuffled_values
+from sparkcomm.operators.resample import deal_labels, label_borders, shuffled_labels, shuffled_values
 from sparkcomm.plans.communication import compute_communication
+from sparkcomm.session import materialize
 
 GENES = ["TGFB1", "TGFBR1", "TGFBR2", "CXCR4", "CXCL12", "CD74"]
 VALUES = [[5, 0, 0, 1, 0, 2], [4, 0, 1, 0, 0, 1], [0, 3, 4, 0, 2, 0], [0, 4, 3, 1, 3, 0], [1, 0, 0, 6, 0, 4], [0, 1, 0, 5, 1, 5]]
@@ -115,6 +116,46 @@ def test_permutation_pvalues_are_in_range(spark, matrix, core_lr):
     assert rows and all(1 / 8 <= r["pvalue"] <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("aggregate", ["mean", "tri_mean"])
+def test_permutations_equal_runs_one_by_one(spark, matrix, core_lr, aggregate):
+    expression, cells = matrix(VALUES, GENES, list("AABBCC"))
+    options = {"min_pct": 0.0, "aggregate": aggregate}
+    key = ["source", "target", "ligand", "receptor"]
+    runs, seed = 2, 11
+    got = compute_communication(expression, cells, core_lr, "cell_type", n_permutations=runs, random_state=seed, **options).interactions.collect()
+    dealt = shuffled_labels(cells.withColumn("group", F.col("cell_type")), "group", runs, id_col="cell_id", seed=seed).cache()
+    hits: dict = {}
+    observed = {tuple(r[k] for k in key): r["prob"] for r in got}
+    for run in range(runs):
+        moved = dealt.where(F.col("perm_id") == run).select("cell_id", F.col("group").alias("cell_type"))
+        for r in compute_communication(expression, moved, core_lr, "cell_type", **options).interactions.collect():
+            at = tuple(r[k] for k in key)
+            hits[at] = hits.get(at, 0) + (at in observed and r["prob"] >= observed[at] * (1 - 1e-9))
+    assert got and all(r["pvalue"] == pytest.approx((hits.get(tuple(r[k] for k in key), 0) + 1) / (runs + 1)) for r in got)
+
+
+def test_runs_are_dealt_without_an_exchange_of_expression(spark):
+    expression = spark.range(4000).select(F.concat(F.lit("c"), F.col("id") % 200).alias("cell_id"), F.concat(F.lit("g"), F.floor(F.col("id") / 200)).alias("gene_key"), (F.col("id") % 7 + 1.0).alias("value"))
+    cells = spark.range(200).select(F.concat(F.lit("c"), "id").alias("cell_id"), F.concat(F.lit("t"), F.col("id") % 5).alias("group"))
+    gathered = materialize(ex.gather_cells(expression, cells))
+    rows = ex.cell_places(gathered)
+    for runs in (2, 50):
+        borders = label_borders(cells, "group", runs, id_col="cell_id")
+        dealt = ex.spread_values(deal_labels(rows.drop("group"), borders, runs, id_col="cell_id"), ["perm_id"])
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+        assert dealt.count() == 4000 * runs
+
+
+def test_a_cell_in_several_sketches_keeps_its_values(spark, matrix, core_lr):
+    expression, cells = matrix(VALUES, GENES, list("AABBCC"))
+    options = {"min_pct": 0.0, "aggregate": "mean", "n_permutations": 2}
+    whole = compute_communication(expression, cells, core_lr, "cell_type", **options).interactions
+    sketch = compute_communication(expression, cells, core_lr, "cell_type", downsample_per_group=10, downsample_repeats=2, **options).interactions
+    key = ["source", "target", "ligand", "receptor"]
+    assert sorted((*[r[k] for k in key], round(r["prob"], 9)) for r in whole.collect()) == sorted((*[r[k] for k in key], round(r["prob"], 9)) for r in sketch.collect())
+
+
 def test_shuffles_keep_label_counts_per_stratum(spark):
     rows = [(f"c{i}", "ABC"[i % 3 if i < 60 else 0], "s1" if i < 70 else "s2") for i in range(100)]
     df = spark.createDataFrame(rows, "cell_id string, group string, section string")
