@@ -55,6 +55,12 @@ SUP = """sup AS (SELECT p_brand AS lig, p_type AS rec, n_name AS nation, r_name
 
 # --- A, B --------------------------------------------------------------------------------
 
+@query("a1_a2_load_lr", """SELECT p_brand AS ligand, p_type AS receptor, CAST(p_size AS VARCHAR) AS pathway, arg_min(p_name, p_partkey) AS annotation, '' AS evidence, 'part' AS lr_name FROM part GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    lr = rd.load_lr_table(spark, f"{sf}/part.parquet", ligand_col="p_brand", receptor_col="p_type", pathway_col="p_size", annotation_col="p_name")
+    return lr.interactions.select("ligand", "receptor", "pathway", "annotation", "evidence", F.lit(lr.name).alias("lr_name"))
+
+
 @query("a4_select_layer", r.with_sql(r.expr_sql("R", "e")) + "SELECT lower(gene) AS gene, COUNT(*) AS n, round(SUM(value), 6) AS total FROM e GROUP BY 1")
 def _(spark, sf):
     from sparkcomm.operators.expression import select_expression
@@ -184,6 +190,51 @@ def _(spark, sf):
     return out.groupBy("ligand_gene", "receptor_gene", "pathway", "annotation", "resource", "evidence_type", "pmid", "clade", "license").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Per layout: the column names its frame has for ligand, receptor, pathway, annotation (None: that of the pathway) and evidence.
+FRAMES = {
+    "generic": ("ligand_symbol", "receptor_symbol", "pathway_name", "category", "references"),
+    "cellchat": ("ligand", "receptor", "pathway_name", "annotation", "evidence"),
+    "omnipath": ("source_genesymbol", "target_genesymbol", "category_intercell_source", None, "references"),
+    "cellphonedb": ("gene_a", "gene_b", "classification", None, "references"),
+    "flyphonedb2": ("source_gene", "target_gene", "family", "interaction_type", "pmid"),
+    "plantphonedb": ("Ligand", "Receptor", "Pathway", "Annotation", "Reference"),
+    "plantcellchat": ("Ligand", "Receptor", "Signal", "Interaction_type", "Evidence"),
+}
+
+
+@query("c1_all_layouts", r.with_sql(SUP, "layouts AS (SELECT unnest(" + str(list(FRAMES)) + ") AS layout)") + """SELECT layout AS curation_type, layout AS resource, lig AS ligand_gene, rec AS receptor_gene, region AS pathway,
+ CASE WHEN layout IN ('omnipath', 'cellphonedb') THEN region ELSE cat END AS annotation, CASE layout WHEN 'generic' THEN 'user_supplied' ELSE 'curated_direct' END AS evidence_type, refs AS pmid, 'sp' AS species, COUNT(*) AS n FROM sup, layouts GROUP BY ALL""")
+def _(spark, sf):
+    s = supplies(spark, sf)
+    fields = ("source_genesymbol", "target_genesymbol", "region", "category_intercell_source", "references")
+    parts = []
+    for layout, names in FRAMES.items():
+        frame = s.select(*[F.col(c).alias(n) for c, n in zip(fields, names, strict=True) if n])
+        out = rs.normalize_training_resource(frame, {"schema": layout, "species": "sp", "taxon_id": "1"}, check=False)
+        parts.append(out.groupBy("curation_type", "resource", "ligand_gene", "receptor_gene", "pathway", "annotation", "evidence_type", "pmid", "species").agg(F.count(F.lit(1)).alias("n")))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+@query("c5_load_resources", r.with_sql(SUP) + """, both_ AS (SELECT lig, rec, cat AS pathway, cat AS note, 'omni' AS res, 'curated_direct' AS kind, refs, '' AS url FROM sup
+ UNION ALL SELECT p_brand, p_type, 'size ' || CAST(p_size AS VARCHAR), p_name, 'fly', 'predicted', '', 'u' FROM part)
+SELECT lig AS ligand_gene, rec AS receptor_gene, pathway, 'sp' AS species, '7' AS taxon_id, COUNT(*) AS support_count, string_agg(DISTINCT res, ';' ORDER BY res) AS support_resources, string_agg(DISTINCT note, ';' ORDER BY note) AS annotation,
+ string_agg(DISTINCT kind, ';' ORDER BY kind) AS evidence_type, COALESCE(string_agg(DISTINCT refs, ';' ORDER BY refs) FILTER (WHERE refs <> ''), '') AS pmid, COALESCE(MAX(url), '') AS source_url FROM both_ GROUP BY ALL""")
+def _(spark, sf):
+    omni = supplies(spark, sf).select("source_genesymbol", "target_genesymbol", "category_intercell_source", "references")
+    part = r.read(spark, sf, "part")
+    fly = part.select(F.col("p_brand").alias("source_gene"), F.col("p_type").alias("target_gene"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("family"), F.col("p_name").alias("interaction_type"))
+    shared = {"species": "sp", "taxon_id": "7"}
+    specs = [
+        {"frame": omni, "schema": "omnipath", "resource": "omni", **shared},
+        {"frame": fly, "schema": "flyphonedb2", "resource": "fly", "evidence_type": "predicted", "source_url": "u", **shared},
+    ]
+    out = rs.load_training_lr_resources(spark, specs)
+    return out.select("ligand_gene", "receptor_gene", "pathway", "species", "taxon_id", "support_count", "support_resources", "annotation", "evidence_type", "pmid", "source_url")
+
+
 @query("c3_training_problems", r.with_sql(SUP) + """SELECT COUNT(*) FILTER (WHERE refs = '') AS empty_ligand_gene, 0 AS empty_receptor_gene, 0 AS empty_species, 0 AS empty_taxon_id, 0 AS empty_resource, COUNT(*) FILTER (WHERE refs = rec) AS self_pairs, COUNT(*) FILTER (WHERE status = 'F') AS undirected FROM sup""")
 def _(spark, sf):
     s = supplies(spark, sf)
