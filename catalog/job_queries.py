@@ -175,6 +175,34 @@ def _(spark, sf):
     return jb.all_gates(gates).select("gate", "passed", "evidence")
 
 
+@query("p13_acceptance_gates", r.with_sql(TK) + """, a AS (SELECT section_id, COUNT(*) FILTER (WHERE st = 'dbfree' AND z >= 2 AND p <= 0.05) AS m, COUNT(*) FILTER (WHERE st = 'role_only' AND z >= 2 AND p <= 0.05) AS r, MAX(z) FILTER (WHERE st = 'dbfree') AS mz, MAX(z) FILTER (WHERE st = 'role_only') AS rz FROM tk WHERE k IN (500, 1000) GROUP BY 1),
+se AS (SELECT COUNT(*) AS n FROM a WHERE m > 0 AND rz IS NOT NULL AND (mz > rz OR m > r)),
+ma AS (SELECT COUNT(DISTINCT p_brand) AS n, COUNT(DISTINCT CASE WHEN p_type = 'PROMO' AND p_size > 48 THEN p_brand END) AS m FROM part),
+ge AS (SELECT p_brand AS g FROM part UNION SELECT p_type FROM part), kn AS (SELECT DISTINCT p_brand AS g FROM part WHERE p_type = 'PROMO' AND p_size > 45),
+co AS (SELECT COUNT(kn.g) AS c, COUNT(*) AS n FROM ge LEFT JOIN kn USING (g)),
+wa AS (SELECT COALESCE(string_agg(DISTINCT w, ',' ORDER BY w), '') AS bad FROM (SELECT trim(unnest(string_split(o_orderpriority || ';' || o_orderstatus, ';'))) AS w FROM orders) WHERE w IN ('P', 'fixture', 'O')),
+de AS (SELECT COALESCE(string_agg(w, ',' ORDER BY w), '') AS mi FROM (SELECT unnest(['score_permutation', 'matched_random_lr', 'dbfree']) AS w) WHERE w NOT IN (SELECT st FROM tk))
+SELECT 'spatial' AS category, 'main_gate' AS gate, n >= 2 AS passed, 'passing_sections=' || n AS evidence FROM se
+UNION ALL SELECT 'sequence', 'gene_match_fraction', m >= 0.5 * n, printf('matched_fraction=%.3f; threshold=%.3f', m / n, 0.5) FROM ma
+UNION ALL SELECT 'sequence', 'predicted_lr_gene_coverage', c >= 0.7 * n, printf('covered=%d; total=%d; fraction=%.3f; threshold=%.3f', c, n, c / n, 0.7) FROM co
+UNION ALL SELECT 'model', 'no_fixture_warnings', bad = '', 'forbidden=' || bad FROM wa
+UNION ALL SELECT 'spatial', 'distance_decay_controls_present', mi = '', 'missing=' || mi FROM de""")
+def _(spark, sf):
+    t, part, orders = topk(spark, sf), r.read(spark, sf, "part"), r.read(spark, sf, "orders")
+    promo = F.col("p_type") == "PROMO"
+    matched = part.agg(F.count_distinct("p_brand").alias("n_expression_genes"), F.count_distinct(F.when(promo & (F.col("p_size") > 48), F.col("p_brand"))).alias("n_matched_genes"))
+    predicted = part.select(F.col("p_brand").alias("ligand"), F.col("p_type").alias("receptor"))
+    match = part.select(F.col("p_brand").alias("gene_id"), (promo & (F.col("p_size") > 45)).alias("in_expression"))
+    gates = [
+        jb.section_gate("d", t),
+        jb.gene_match_gate("d", matched, 0.5),
+        jb.lr_gene_coverage_gate("d", predicted, match, 0.7),
+        jb.warning_gate("d", orders.select(F.concat_ws(" ; ", "o_orderpriority", "o_orderstatus").alias("warning")), ["P", "fixture", "O"]),
+        jb.decay_controls_gate("d", t),
+    ]
+    return jb.all_gates(gates).select("category", "gate", "passed", "evidence")
+
+
 @query("p14_shared_groups", "SELECT o_orderpriority AS \"group\", COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS n_a, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS n_b, COUNT(*) FILTER (WHERE o_orderstatus IN ('F', 'P')) AS total FROM orders GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 3")
 def _(spark, sf):
     return jb.shared_groups(r.read(spark, sf, "orders"), "o_orderpriority", "o_orderstatus", "F", "P", top_n=3)

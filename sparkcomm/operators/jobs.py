@@ -339,8 +339,10 @@ def feasibility_gate(dataset: str, topk: DataFrame, *, main: str = "dbfree", ks:
 
 
 def warning_gate(dataset: str, summary: DataFrame, forbidden: Sequence[str]) -> DataFrame:
-    seen = F.array_distinct(F.flatten(F.collect_set(tokens("warning", ";"))))
-    e = summary.agg(F.array_join(F.array_sort(F.array_intersect(F.array(*[F.lit(f) for f in forbidden]), seen)), ",").alias("bad"))
+    """Passes if no row warns of anything ``forbidden``; only forbidden warnings are gathered."""
+    named = F.array(*[F.lit(f) for f in sorted(set(forbidden))])
+    e = summary.select(F.explode(F.array_intersect(named, tokens("warning", ";"))).alias("w"))
+    e = e.agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("bad"))
     return gate(dataset, "model", "no_fixture_warnings", e, F.col("bad") == "", F.concat(F.lit("forbidden="), F.col("bad")))
 
 
