@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -10,16 +9,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcomm.llm.scoring import _HASHES, pair_hash
-from sparkcomm.session import materialize
+from sparkcomm.llm.scoring import _HASHES, mix, pair_hash
 
 #: Runs of so many tokens that stand on so many distinct pages of a host are boilerplate.
 RUN, PAGES = 5, 3
 #: Pages of a host that share one suffix array; hosts with more are dealt over several, and their runs are counted by hash.
-SHARD = 400
+SHARD, SHARD_CHARS = 400, 8 << 20
+#: Characters of a host's pages for each block of the hash range in which its windows are counted.
+BLOCK_CHARS = 8 << 20
+#: A window in a block: the lower 40 bits of its hash, and a hash of the page's tokens.
+_ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("stream", "<u4")])
+LOW = np.uint64((1 << 40) - 1)
 #: Share of a block's tokens that repeated runs must cover.
 COVERED = 0.5
 
@@ -208,8 +212,8 @@ def _tokens(page: str) -> list[str]:
     return [t for b in blocks(page) for t in b.text.split(" ")]
 
 
-def main_texts(pages: list[str], often: np.ndarray | None = None) -> list[str]:
-    """Main texts of pages of one host. ``often``: hashes of windows (see ``windows``) found to repeat on other pages too.
+def main_texts(pages: list[str], often: np.ndarray | None = None, n_blocks: int = 1) -> list[str]:
+    """Main texts of pages of one host. ``often``: windows as numbers (see ``codes``) found to repeat on other pages too.
 
     A block is dropped if repeated runs cover at least COVERED of it. The page's markup then corrects this both ways: paragraphs,
     headings, list items and the like of an article or main element come back (articles may quote each other), and
@@ -224,7 +228,7 @@ def main_texts(pages: list[str], often: np.ndarray | None = None) -> list[str]:
     found = repeated(streams)
     if often is not None and len(often):
         for stream, covered in zip(streams, found, strict=True):
-            for start in np.flatnonzero(np.isin(windows(stream), often)):
+            for start in np.flatnonzero(np.isin(codes(stream, n_blocks), often)):
                 covered[start : start + RUN] = True
     out = []
     for page, covered in zip(parsed, found, strict=True):
@@ -244,32 +248,75 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def codes(tokens: list[str], blocks: int) -> np.ndarray:
+    """The windows of a text as numbers: one of ``blocks`` blocks by the upper bits of the hash, and its lower 40 bits."""
+    h = mix(windows(tokens))
+    return ((h >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24) << np.uint64(40) | h & LOW
+
+
+def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """host, block, shard, entries (_ENTRY): windows of the distinct pages of a batch. No window stands more than PAGES times for a shard."""
+    for pdf in frames:
+        for (host, shard, n), rows in pdf.groupby(["host", "shard", "blocks"], sort=False):
+            held, seen = [], set()
+            for page in rows["html"]:
+                tokens = _tokens(page or "")
+                stream = xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
+                if stream not in seen:
+                    seen.add(stream)
+                    own = np.unique(codes(tokens, n))
+                    held.append((own, np.full(len(own), stream & 0xFFFFFFFF, np.uint32)))
+            code, stream = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(code, kind="stable")
+            code, stream = code[order], stream[order]
+            few = np.ones(len(code), bool)
+            few[PAGES:] = code[PAGES:] != code[:-PAGES]
+            code, stream = code[few], stream[few]
+            entries = np.zeros(len(code), _ENTRY)
+            entries["low"], entries["high"], entries["stream"] = code & np.uint64(0xFFFFFFFF), code >> np.uint64(32) & np.uint64(255), stream
+            block = (code >> np.uint64(40)).astype(np.int64)
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+            parts = [e.tobytes() for e in np.split(entries, first[1:])] if len(first) else []
+            yield pd.DataFrame({"host": host, "block": block[first], "shard": shard, "entries": parts})
+
+
+def _repeated_codes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """host, shard, code: windows of a block found on PAGES distinct pages of the host, for every shard that has them."""
+    parts = [np.frombuffer(e, _ENTRY) for e in pdf["entries"]]
+    shard = np.repeat(pdf["shard"].to_numpy(), [len(p) for p in parts])
+    every = np.concatenate(parts)
+    low = every["low"].astype(np.int64) | every["high"].astype(np.int64) << 32
+    order = np.lexsort((every["stream"], low))
+    a, s, shard = low[order], every["stream"][order], shard[order]
+    new = np.append(True, a[1:] != a[:-1])
+    page = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))
+    often = (np.add.reduceat(page.astype(np.int64), np.flatnonzero(new)) >= PAGES)[np.cumsum(new) - 1]
+    found = pd.DataFrame({"shard": shard[often], "code": a[often] | int(pdf["block"].iloc[0]) << 40}).drop_duplicates()
+    return found.assign(host=pdf["host"].iloc[0])[["host", "shard", "code"]]
+
+
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Key, url and the main text of every page (see ``main_texts``): blocks joined by an empty line, empty if there are none.
 
-    Null html counts as empty. Pages without a host count as one host. A host with more than SHARD pages is dealt over
-    several suffix arrays by a hash of the page, so no task holds a whole large host; the runs its pages share across these
-    are found by hashes of windows of RUN tokens, counted over the distinct pages of the host.
+    Null html counts as empty. Pages without a host count as one host. A host with more than SHARD pages or SHARD_CHARS
+    characters is dealt over several suffix arrays by a hash of the page, so no task holds a whole large host; the runs its
+    pages share across these are found by hashes of windows of RUN tokens, counted over the distinct pages of the host.
+    These go to blocks of the host's hash range packed, nine bytes each, at most PAGES of a window for a batch and shard;
+    only windows that repeat come back.
     """
     named = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    shards = named.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"))
-    dealt = named.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64(key, url, F.length("html")), F.col("shards")))
-    many = dealt.where(F.col("shards") > 1)
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            every = [_tokens(h or "") for h in pdf["html"]]
-            own = [np.unique(windows(t)).view(np.int64) for t in every]
-            stream = [hashlib.md5(" ".join(t).encode("utf-8", "surrogatepass")).hexdigest() for t in every]
-            yield pd.DataFrame({"host": pdf["host"], "shard": pdf["shard"], "stream": stream, "windows": own})
-
-    held = materialize(many.select("host", "shard", "html").mapInPandas(cut, "host string, shard long, stream string, windows array<long>"))
-    once = held.groupBy("host", "stream").agg(F.first("windows").alias("windows"))
-    often = once.select("host", F.explode("windows").alias("w")).groupBy("host", "w").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    often = held.select("host", "shard", F.explode("windows").alias("w")).distinct().join(often, ["host", "w"]).select("host", "shard", "w")
+    chars = F.sum(F.coalesce(F.length("html"), F.lit(0)))
+    shards = F.greatest(F.ceil(F.col("n") / SHARD), F.ceil(F.col("chars") / SHARD_CHARS), F.lit(1)).cast("int")
+    blocks = F.least(F.ceil(F.col("chars") / BLOCK_CHARS) + 1, F.lit(1 << 24)).cast("int")
+    sizes = named.groupBy("host").agg(F.count("*").alias("n"), chars.alias("chars")).select("host", shards.alias("shards"), blocks.alias("blocks"))
+    dealt = named.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64(key, url, F.length("html")), F.col("shards")))
+    many = dealt.where(F.col("shards") > 1).select("host", "shard", "blocks", "html")
+    cut = many.mapInPandas(_cut, "host string, block long, shard long, entries binary")
+    often = cut.groupBy("host", "block").applyInPandas(_repeated_codes, "host string, shard long, code long")
 
     def run(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts([h or "" for h in pdf["html"]], found["w"].to_numpy(np.int64).view(np.uint64))
+        own = found["code"].to_numpy(np.int64).view(np.uint64)
+        texts = main_texts([h or "" for h in pdf["html"]], own, int(pdf["blocks"].iloc[0]) if len(pdf) else 1)
         return pd.DataFrame({key: pdf[key], url: pdf[url], "text": texts})
 
     kind = {f.name: f.dataType.simpleString() for f in pages.select(key, url).schema}
