@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcomm.llm.scoring import _HASHES, mix, pair_hash
+from sparkcomm.session import materialize
 
 #: Runs of so many tokens that stand on so many distinct pages of a host are boilerplate.
 RUN, PAGES = 5, 3
 #: Pages of a host that share one suffix array; hosts with more are dealt over several, and their runs are counted by hash.
 SHARD, SHARD_CHARS = 400, 8 << 20
 #: Characters of a host's pages for each block of the hash range in which its windows are counted.
-BLOCK_CHARS = 8 << 20
-#: A window in a block: the lower 40 bits of its hash, and a hash of the page's tokens.
-_ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("stream", "<u4")])
-LOW = np.uint64((1 << 40) - 1)
+BLOCK_CHARS = 16 << 20
+#: Bits of a window's hash in its block. A block holds some millions of windows, so two of them rarely agree (1 in 30,000 windows).
+BITS, LOW = np.uint64(36), np.uint64((1 << 36) - 1)
 #: Share of a block's tokens that repeated runs must cover.
 COVERED = 0.5
 
@@ -81,7 +83,7 @@ def blocks(page: str) -> list[Block]:
     def close() -> None:
         if held:
             if text := " ".join(entities.unescape("".join(held)).split()):
-                out.append(Block(text, beside > 0, inside > 0, prose > 0))
+                out.append(Block(text, beside > 0, inside > 0, prose > 0, text.split(" ")))
             held.clear()
 
     def count(entry: tuple[str, bool], by: int) -> None:
@@ -208,22 +210,19 @@ def windows(tokens: list[str], run: int = RUN) -> np.ndarray:
     return out
 
 
-def _tokens(page: str) -> list[str]:
-    return [t for b in blocks(page) for t in b.text.split(" ")]
+def main_texts(pages: list[str]) -> list[str]:
+    """Main texts of pages of one host (see ``chosen``)."""
+    return chosen([blocks(p) for p in pages])
 
 
-def main_texts(pages: list[str], often: np.ndarray | None = None, n_blocks: int = 1) -> list[str]:
-    """Main texts of pages of one host. ``often``: windows as numbers (see ``codes``) found to repeat on other pages too.
+def chosen(parsed: list[list[Block]], often: np.ndarray | None = None, n_blocks: int = 1) -> list[str]:
+    """Main texts of the parsed pages of a host. ``often``: windows as numbers (see ``codes``) found to repeat on other pages too.
 
     A block is dropped if repeated runs cover at least COVERED of it. The page's markup then corrects this both ways: paragraphs,
     headings, list items and the like of an article or main element come back (articles may quote each other), and
     blocks that menus, headers, footers, forms and so on hold go even where they are unique, as does what stands
     outside the article if the page has one.
     """
-    parsed = [blocks(p) for p in pages]
-    for page in parsed:
-        for b in page:
-            b.tokens = b.text.split(" ")
     streams = [[t for b in page for t in b.tokens] for page in parsed]
     found = repeated(streams)
     if often is not None and len(often):
@@ -249,50 +248,78 @@ def host_of(url: Column) -> Column:
 
 
 def codes(tokens: list[str], blocks: int) -> np.ndarray:
-    """The windows of a text as numbers: one of ``blocks`` blocks by the upper bits of the hash, and its lower 40 bits."""
+    """The windows of a text as numbers: one of ``blocks`` blocks by the upper bits of the hash, and its lower 36 bits."""
     h = mix(windows(tokens))
-    return ((h >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24) << np.uint64(40) | h & LOW
-
-
-def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """host, block, shard, entries (_ENTRY): windows of the distinct pages of a batch. No window stands more than PAGES times for a shard."""
-    for pdf in frames:
-        for (host, shard, n), rows in pdf.groupby(["host", "shard", "blocks"], sort=False):
-            held, seen = [], set()
-            for page in rows["html"]:
-                tokens = _tokens(page or "")
-                stream = xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
-                if stream not in seen:
-                    seen.add(stream)
-                    own = np.unique(codes(tokens, n))
-                    held.append((own, np.full(len(own), stream & 0xFFFFFFFF, np.uint32)))
-            code, stream = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(code, kind="stable")
-            code, stream = code[order], stream[order]
-            few = np.ones(len(code), bool)
-            few[PAGES:] = code[PAGES:] != code[:-PAGES]
-            code, stream = code[few], stream[few]
-            entries = np.zeros(len(code), _ENTRY)
-            entries["low"], entries["high"], entries["stream"] = code & np.uint64(0xFFFFFFFF), code >> np.uint64(32) & np.uint64(255), stream
-            block = (code >> np.uint64(40)).astype(np.int64)
-            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
-            parts = [e.tobytes() for e in np.split(entries, first[1:])] if len(first) else []
-            yield pd.DataFrame({"host": host, "block": block[first], "shard": shard, "entries": parts})
+    return ((h >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24) << BITS | h & LOW
+
+
+def pack(page: list[Block]) -> bytes:
+    """Blocks as compressed lines: a digit of the three marks, then the text (which holds no line feed)."""
+    lines = (f"{b.beside + 2 * b.inside + 4 * b.prose}{b.text}" for b in page)
+    return zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"))
+
+
+def unpack(packed: bytes) -> list[Block]:
+    lines = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+    return [Block(x[1:], x[0] in "1357", x[0] in "2367", x[0] in "4567", x[1:].split(" ")) for x in lines if x]
+
+
+def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
+    """host, block, shard, entries, pages: windows of the distinct pages of a shard, each PAGES times at most.
+
+    Windows are sorted, the lower 36 bits as steps; ``pages`` are hashes of the pages that ``entries`` count.
+    """
+    if pdf["shards"].iloc[0] == 1:
+        pdf = pdf.iloc[:0]
+    held: dict[int, np.ndarray] = {}
+    for page in pdf["page"]:
+        tokens = [t for b in unpack(page) for t in b.tokens]
+        stream = xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
+        if stream not in held:
+            held[stream] = np.unique(codes(tokens, pdf["blocks"].iloc[0]))
+    code = np.concatenate([np.zeros(0, np.uint64), *held.values()])
+    page = np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
+    order = np.argsort(code, kind="stable")
+    code, page = code[order], page[order]
+    few = np.ones(len(code), bool)
+    few[PAGES:] = code[PAGES:] != code[:-PAGES]
+    code, page = code[few], page[few]
+    block = (code >> BITS).astype(np.int64)
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+    streams = np.fromiter(held, np.uint64, len(held)).astype("<u4")
+    entries, pages = [], []
+    for own, of in zip(np.split(code & LOW, first[1:]), np.split(page, first[1:]), strict=True) if len(first) else ():
+        named, number = np.unique(of, return_inverse=True)
+        step = np.diff(own, prepend=np.uint64(0))
+        parts = ((step & np.uint64(0xFFFF)).astype("<u2"), (step >> np.uint64(16)).astype("<u2"), (step >> np.uint64(32)).astype("u1"), number.astype("<u2" if len(named) < 1 << 16 else "<u4"))
+        entries.append(zlib.compress(b"".join(x.tobytes() for x in parts), 1))
+        pages.append(streams[named].tobytes())
+    host, shard = ([pdf[c].iloc[0]] * len(first) if len(first) else [] for c in ("host", "shard"))
+    return pd.DataFrame({"host": host, "block": block[first], "shard": shard, "entries": entries, "pages": pages}, dtype=object)
+
+
+def _entries(packed: bytes, pages: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bits of the windows and the hashes of their pages, as ``_cut`` packed them."""
+    streams, raw = np.frombuffer(pages, "<u4"), zlib.decompress(packed)
+    number = np.dtype("<u2" if len(streams) < 1 << 16 else "<u4")
+    n = len(raw) // (5 + number.itemsize)
+    low, middle, high = np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u2", n, 2 * n), np.frombuffer(raw, "u1", n, 4 * n)
+    step = low.astype(np.int64) | middle.astype(np.int64) << 16 | high.astype(np.int64) << 32
+    return np.cumsum(step), streams[np.frombuffer(raw, number, n, 5 * n)]
 
 
 def _repeated_codes(pdf: pd.DataFrame) -> pd.DataFrame:
     """host, shard, code: windows of a block found on PAGES distinct pages of the host, for every shard that has them."""
-    parts = [np.frombuffer(e, _ENTRY) for e in pdf["entries"]]
-    shard = np.repeat(pdf["shard"].to_numpy(), [len(p) for p in parts])
-    every = np.concatenate(parts)
-    low = every["low"].astype(np.int64) | every["high"].astype(np.int64) << 32
-    order = np.lexsort((every["stream"], low))
-    a, s, shard = low[order], every["stream"][order], shard[order]
+    parts = [_entries(*x) for x in zip(pdf["entries"], pdf["pages"], strict=True)]
+    shard = np.repeat(pdf["shard"].to_numpy(), [len(low) for low, _ in parts])
+    low, stream = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((stream, low))
+    a, s, shard = low[order], stream[order], shard[order]
     new = np.append(True, a[1:] != a[:-1])
     page = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))
     often = (np.add.reduceat(page.astype(np.int64), np.flatnonzero(new)) >= PAGES)[np.cumsum(new) - 1]
-    found = pd.DataFrame({"shard": shard[often], "code": a[often] | int(pdf["block"].iloc[0]) << 40}).drop_duplicates()
-    return found.assign(host=pdf["host"].iloc[0])[["host", "shard", "code"]]
+    found = pd.DataFrame({"shard": shard[often], "code": a[often] | int(pdf["block"].iloc[0]) << int(BITS)}).drop_duplicates()
+    return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(found), dtype=object), "shard": found["shard"].to_numpy(), "code": found["code"].to_numpy()})
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -301,23 +328,34 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     Null html counts as empty. Pages without a host count as one host. A host with more than SHARD pages or SHARD_CHARS
     characters is dealt over several suffix arrays by a hash of the page, so no task holds a whole large host; the runs its
     pages share across these are found by hashes of windows of RUN tokens, counted over the distinct pages of the host.
-    These go to blocks of the host's hash range packed, nine bytes each, at most PAGES of a window for a batch and shard;
-    only windows that repeat come back.
+    These go to blocks of the host's hash range packed, some four bytes each, at most PAGES of a window for a shard; only
+    windows that repeat come back. Pages are parsed once and go to their shard as compressed blocks.
     """
     named = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     chars = F.sum(F.coalesce(F.length("html"), F.lit(0)))
     shards = F.greatest(F.ceil(F.col("n") / SHARD), F.ceil(F.col("chars") / SHARD_CHARS), F.lit(1)).cast("int")
-    blocks = F.least(F.ceil(F.col("chars") / BLOCK_CHARS) + 1, F.lit(1 << 24)).cast("int")
-    sizes = named.groupBy("host").agg(F.count("*").alias("n"), chars.alias("chars")).select("host", shards.alias("shards"), blocks.alias("blocks"))
-    dealt = named.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64(key, url, F.length("html")), F.col("shards")))
-    many = dealt.where(F.col("shards") > 1).select("host", "shard", "blocks", "html")
-    cut = many.mapInPandas(_cut, "host string, block long, shard long, entries binary")
+    blocks_ = F.least(F.ceil(F.col("chars") / BLOCK_CHARS) + 1, F.lit(1 << 24)).cast("int")
+    sizes = named.groupBy("host").agg(F.count("*").alias("n"), chars.alias("chars")).select("host", shards.alias("shards"), blocks_.alias("blocks"))
+    sizes = materialize(sizes.where(F.col("shards") > 1))  # large hosts only
+    one = F.lit(1)
+    dealt = named.join(sizes, "host", "left").withColumns({c: F.coalesce(F.col(c), one) for c in ("shards", "blocks")})
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(key, url, F.length("html")), F.col("shards")))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([pack(blocks(h.as_py() or "")) for h in batch.column("html")], pa.binary())
+            kept = batch.drop_columns(["html"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, packed], [*kept.schema.names, "page"])
+
+    kind = {f.name: f.dataType.simpleString() for f in pages.select(key, url).schema}
+    dealt = dealt.select(key, url, "host", "shards", "blocks", "shard", "html")
+    shipped = dealt.mapInArrow(parse, f"`{key}` {kind[key]}, `{url}` {kind[url]}, host string, shards int, blocks int, shard long, page binary")
+    cut = shipped.groupBy("host", "shard").applyInPandas(_cut, "host string, block long, shard long, entries binary, pages binary")
     often = cut.groupBy("host", "block").applyInPandas(_repeated_codes, "host string, shard long, code long")
 
     def run(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         own = found["code"].to_numpy(np.int64).view(np.uint64)
-        texts = main_texts([h or "" for h in pdf["html"]], own, int(pdf["blocks"].iloc[0]) if len(pdf) else 1)
+        texts = chosen([unpack(p) for p in pdf["page"]], own, pdf["blocks"].iloc[0] if len(pdf) else 1)
         return pd.DataFrame({key: pdf[key], url: pdf[url], "text": texts})
 
-    kind = {f.name: f.dataType.simpleString() for f in pages.select(key, url).schema}
-    return dealt.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInPandas(run, f"`{key}` {kind[key]}, `{url}` {kind[url]}, text string")
+    return shipped.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInPandas(run, f"`{key}` {kind[key]}, `{url}` {kind[url]}, text string")

@@ -95,3 +95,16 @@ def test_runs_across_shards_equal_those_of_one(spark, monkeypatch):
     monkeypatch.setattr(html, "SHARD", 2)
     dealt = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
     assert dealt == whole and all(whole[i] == b for i, b in enumerate(bodies))
+
+
+def test_packed_pages_and_windows_come_back():
+    import pandas as pd
+
+    for page in (PAGE, "", "<p>a\n\n<b>b</b><nav>c</nav>", "\x85<p>\u2028x y"):
+        parsed = html.blocks(page)
+        assert html.unpack(html.pack(parsed)) == parsed
+    pages = [html.pack(html.blocks(f"<p>{prose(i, 200)}</p>")) for i in (1, 2, 3, 3)]
+    cut = html._cut(pd.DataFrame({"host": "h", "shards": 2, "blocks": 5, "shard": 1, "page": pages}))
+    got = sorted((b << 36 | int(w), int(p)) for b, e, of in zip(cut["block"], cut["entries"], cut["pages"], strict=True) for w, p in zip(*html._entries(e, of), strict=True))
+    tokens = [[t for b in html.unpack(p) for t in b.tokens] for p in pages[:3]]
+    assert [w for w, _ in got] == sorted(int(w) for t in tokens for w in set(html.codes(t, 5).tolist())) and len({p for _, p in got}) == 3
