@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcomm.llm.scoring import _HASHES, mix, pair_hash
+from sparkcomm.llm.scoring import mix, pair_hash
 from sparkcomm.session import materialize
 
 #: Runs of so many tokens that stand on so many distinct pages of a host are boilerplate.
@@ -149,12 +149,13 @@ def suffix_array(tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     Ranks double the number of tokens they stand for; the shared lengths come from the ranks kept.
     """
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    kept, h = [rank], 1
+    rank = tokens - tokens.min() + 1 if n else tokens
+    kept, h, most = [rank], 1, int(rank.max(initial=0)) + 2
     while h < length:
         second = np.zeros(n, np.int64)
         second[: max(n - h, 0)] = rank[h:]
-        rank = np.unique(rank * (n + 2) + second, return_inverse=True)[1].astype(np.int64) + 1
+        rank = np.unique(rank * most + second, return_inverse=True)[1].astype(np.int64) + 1
+        most = n + 2
         kept.append(rank)
         h *= 2
     order = np.argsort(rank, kind="stable")
@@ -190,8 +191,7 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
         seen = np.unique(interval * (len(distinct) + 1) + page[order])
         often = np.bincount(seen // (len(distinct) + 1), minlength=interval[-1] + 1) >= pages
         starts = order[often[interval]]
-        np.add.at(covered, starts, 1)
-        np.add.at(covered, np.minimum(starts + run, len(tokens)), -1)
+        covered += np.bincount(starts, minlength=len(covered)) - np.bincount(np.minimum(starts + run, len(tokens)), minlength=len(covered))
     covered = np.cumsum(covered)[:-1] > 0
     at, found = 0, []
     for key in distinct:
@@ -200,14 +200,22 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
     return [found[distinct[tuple(s)]] for s in streams]
 
 
-def windows(tokens: list[str], run: int = RUN) -> np.ndarray:
-    """Hashes of the windows of ``run`` tokens, by where they start."""
-    h = np.fromiter((_HASHES[t.encode("utf-8", "surrogatepass")] for t in tokens), np.uint64, len(tokens))
-    n = max(len(h) - run + 1, 0)
-    out = h[:n]
-    for i in range(1, run):
-        out = pair_hash(out, h[i : i + n])
-    return out
+def codes(streams: list[list[str]], blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of RUN tokens within the streams, as numbers, and where they start when the streams stand in a row.
+
+    A number is one of ``blocks`` blocks by the upper bits of the window's hash, and the hash's lower BITS bits.
+    """
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    ids: dict[str, int] = {}
+    number = np.fromiter((ids.setdefault(t, len(ids)) for s in streams for t in s), np.int64, sizes.sum())
+    h = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in ids), np.uint64, len(ids))[number]
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    starts = np.flatnonzero(np.arange(len(h)) + RUN <= ends)
+    out = h[starts]
+    for i in range(1, RUN):
+        out = pair_hash(out, h[starts + i])
+    h = mix(out)
+    return ((h >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24) << BITS | h & LOW, starts
 
 
 def main_texts(pages: list[str]) -> list[str]:
@@ -226,9 +234,12 @@ def chosen(parsed: list[list[Block]], often: np.ndarray | None = None, n_blocks:
     streams = [[t for b in page for t in b.tokens] for page in parsed]
     found = repeated(streams)
     if often is not None and len(often):
-        for stream, covered in zip(streams, found, strict=True):
-            for start in np.flatnonzero(np.isin(codes(stream, n_blocks), often)):
-                covered[start : start + RUN] = True
+        code, start = codes(streams, n_blocks)
+        start = start[np.isin(code, often)]
+        n = sum(map(len, streams)) + 1
+        edge = np.bincount(start, minlength=n) - np.bincount(start + RUN, minlength=n)
+        also = np.split(np.cumsum(edge)[:-1] > 0, np.cumsum([len(x) for x in streams])[:-1])
+        found = [a | b for a, b in zip(found, also, strict=True)]
     out = []
     for page, covered in zip(parsed, found, strict=True):
         framed = any(b.inside and not b.beside for b in page)
@@ -247,12 +258,6 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def codes(tokens: list[str], blocks: int) -> np.ndarray:
-    """The windows of a text as numbers: one of ``blocks`` blocks by the upper bits of the hash, and its lower 36 bits."""
-    h = mix(windows(tokens))
-    return ((h >> np.uint64(40)) * np.uint64(blocks)) >> np.uint64(24) << BITS | h & LOW
-
-
 def pack(page: list[Block]) -> bytes:
     """Blocks as compressed lines: a digit of the three marks, then the text (which holds no line feed)."""
     lines = (f"{b.beside + 2 * b.inside + 4 * b.prose}{b.text}" for b in page)
@@ -271,16 +276,17 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     """
     if pdf["shards"].iloc[0] == 1:
         pdf = pdf.iloc[:0]
-    held: dict[int, np.ndarray] = {}
+    held: dict[int, list[str]] = {}
     for page in pdf["page"]:
         tokens = [t for b in unpack(page) for t in b.tokens]
         stream = xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
-        if stream not in held:
-            held[stream] = np.unique(codes(tokens, pdf["blocks"].iloc[0]))
-    code = np.concatenate([np.zeros(0, np.uint64), *held.values()])
-    page = np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
-    order = np.argsort(code, kind="stable")
+        held.setdefault(stream, tokens)
+    code, start = codes(list(held.values()), pdf["blocks"].iloc[0] if held else 1)
+    page = np.searchsorted(np.cumsum([len(x) for x in held.values()]), start, side="right")
+    order = np.lexsort((page, code))
     code, page = code[order], page[order]
+    own = np.append(True, (code[1:] != code[:-1]) | (page[1:] != page[:-1]))[: len(code)]
+    code, page = code[own], page[own]
     few = np.ones(len(code), bool)
     few[PAGES:] = code[PAGES:] != code[:-PAGES]
     code, page = code[few], page[few]

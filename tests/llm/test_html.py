@@ -107,4 +107,4 @@ def test_packed_pages_and_windows_come_back():
     cut = html._cut(pd.DataFrame({"host": "h", "shards": 2, "blocks": 5, "shard": 1, "page": pages}))
     got = sorted((b << 36 | int(w), int(p)) for b, e, of in zip(cut["block"], cut["entries"], cut["pages"], strict=True) for w, p in zip(*html._entries(e, of), strict=True))
     tokens = [[t for b in html.unpack(p) for t in b.tokens] for p in pages[:3]]
-    assert [w for w, _ in got] == sorted(int(w) for t in tokens for w in set(html.codes(t, 5).tolist())) and len({p for _, p in got}) == 3
+    assert [w for w, _ in got] == sorted(int(w) for t in tokens for w in set(html.codes([t], 5)[0].tolist())) and len({p for _, p in got}) == 3
