@@ -12,8 +12,9 @@ from sparkcomm.llm.common import SPACE, let
 from sparkcomm.session import materialize
 
 #: Terms go by their md5: its first DIGITS hexadecimal digits are a feature (2^20, whose lexicon is a bit map of 128 KB), the
-#: next one deals the terms over DRAWINGS random lexicons, and the three after that thin each lexicon to the shares LIMITS / 4,096.
-DIGITS, DRAWINGS, LIMITS = 5, 16, ("400", "100", "040", "010")
+#: next one deals the terms over DRAWINGS random lexicons, and the three after that thin each lexicon to the shares LIMITS / 4,096;
+#: the first takes in every term, so the drawings together hold the whole band.
+DIGITS, DRAWINGS, LIMITS = 5, 16, ("g", "400", "100", "040", "010")
 #: The band: in at least LEAST documents, and at most one of MOST documents (two in small tables).
 LEAST, MOST = 2, 20
 SIZE, NONE = 6, "------"
@@ -24,7 +25,7 @@ def terms(text: Column) -> Column:
     return F.transform(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)), lambda t: F.md5(t))
 
 
-def in_lexicon(h: Column, limit: str = LIMITS[0]) -> Column:
+def in_lexicon(h: Column, limit: str) -> Column:
     return F.substring(h, DIGITS + 2, 3) < limit
 
 
@@ -33,12 +34,9 @@ def _number(h: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, *, text: str = "text", least: int = LEAST, most: int = MOST) -> Column:
-    """The band of all rows as a constant array of 64-bit words, a bit per feature. At most 16,384 words come to the driver.
-
-    Only terms that some random lexicon may hold are counted.
-    """
+    """The band of all rows as a constant array of 64-bit words, a bit per feature. At most 16,384 words come to the driver."""
     n = docs.count()
-    number = F.transform(F.filter(terms(F.col(text)), lambda h: in_lexicon(h)), _number)
+    number = F.transform(terms(F.col(text)), _number)
     features = docs.select(F.explode(F.array_distinct(number)).alias("f"))
     band = features.groupBy("f").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") <= max(2, n // most)))
     bits = band.groupBy(F.shiftright("f", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("f").bitwiseAND(63))).alias("bits"))
@@ -69,7 +67,7 @@ def fingerprint(text: Column, band: Column) -> Column:
         return F.concat(*[of_drawing(held, d) for d in range(DRAWINGS)])
 
     def whole(every: Column) -> Column:
-        held = F.array_sort(F.filter(F.filter(every, lambda h: in_lexicon(h)), known))
+        held = F.array_sort(F.filter(every, known))
         return let(held, lambda x: F.when(F.size(x) == 0, F.concat(F.lit("all-"), F.md5(F.array_join(F.array_sort(every), "")))).otherwise(lexicons(x)))
 
     return let(terms(text), whole)
