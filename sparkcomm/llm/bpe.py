@@ -301,6 +301,11 @@ def encode_texts(texts: list[str | None], splitter: regex.Pattern, cache: Cache)
     return out
 
 
+def encode_text(text: str | None, splitter: regex.Pattern, cache: Cache) -> np.ndarray:
+    """Token ids of one text."""
+    return encode_texts([text], splitter, cache)[0]
+
+
 def ragged(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
