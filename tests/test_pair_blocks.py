@@ -1,9 +1,11 @@
 """Block sums against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkcomm.operators import pair_blocks
 from sparkcomm.operators import spatial as sp
 from sparkcomm.operators.pair_blocks import distance_bins, kernel_sums
 
@@ -46,3 +48,29 @@ def test_distance_bins(spark):
     for r in rows:
         block = d[np.ix_(g == r["source"], g == r["target"])]
         assert r["n"] == ((block >= r["lo"]) & (block <= r["hi"])).sum()
+
+
+@pytest.mark.parametrize("few", [1, 1_000_000])
+def test_distance_bins_of_ties_and_far_clusters(spark, few):
+    rng = np.random.default_rng(2)
+    xy = np.concatenate([rng.integers(0, 12, size=(300, 2)) * 0.1, rng.normal(size=(200, 2)) + 50, rng.normal(size=(50, 2)) * 0.01 - 90])
+    g = np.array(["ABCD"[i % 4] for i in range(len(xy))])
+    df = spark.createDataFrame([(f"c{i}", g[i], float(x), float(y)) for i, (x, y) in enumerate(xy)], "cell_id string, group string, x double, y double")
+    d = np.sqrt((xy[:, None, 0] - xy[None, :, 0]) ** 2 + (xy[:, None, 1] - xy[None, :, 1]) ** 2)
+    probs = [0.0, 0.1, 0.35, 0.5, 0.9, 1.0]
+    cuts, bins = distance_bins(df, probs, block=64, few=few)
+    assert cuts == pytest.approx(np.quantile(d.ravel(), probs), rel=1e-15)
+    for r in bins.collect():
+        block = d[np.ix_(g == r["source"], g == r["target"])]
+        assert r["n"] == ((block >= r["lo"]) & (block <= r["hi"])).sum()
+
+
+def test_far_leaves_count_as_a_whole():
+    """Most leaves of 16 neighbours lie between two cuts with all their distances, so few pairs of places are looked at."""
+    xy = np.random.default_rng(3).uniform(size=(20000, 2))
+    row = pd.Series({"xs": xy[:, 0], "ys": xy[:, 1], "gs": np.zeros(len(xy), dtype=int), "ns": np.ones(len(xy))})
+    side = pair_blocks._Side(row, 1)
+    least, most = pair_blocks._bounds(side, side, slice(0, len(side.total)))
+    cuts = np.array([0.3, 0.6, 0.9])
+    assert (np.searchsorted(cuts, least, "right") != np.searchsorted(cuts, most, "right")).mean() < 0.3
+    assert side.total.sum() == side.groups.sum() == len(xy)
