@@ -74,3 +74,13 @@ def test_far_leaves_count_as_a_whole():
     cuts = np.array([0.3, 0.6, 0.9])
     assert (np.searchsorted(cuts, least, "right") != np.searchsorted(cuts, most, "right")).mean() < 0.3
     assert side.total.sum() == side.groups.sum() == len(xy)
+
+
+def test_kernels_share_one_pass(spark):
+    d, g, _, df = cells(spark)
+    weights = sp.spatial_weights(df, radius=1.5, sigma=0.2)
+    assert weights._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    for r in weights.collect():
+        block = d[np.ix_(g == r["source"], g == r["target"])]
+        want = (block <= 1.5).mean() if r["kernel"] == "contact" else np.exp(-block / 0.2).mean()
+        assert r["spatial_weight"] == pytest.approx(want, abs=1e-12)
