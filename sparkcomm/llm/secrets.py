@@ -45,6 +45,8 @@ RULES = BASE + MORE
 #: Alternatives a rule may have, and characters of a class that are written out; beyond these, less is known of a match.
 ALTERNATIVES, CLASS = 1_024, 8
 _GAP = None
+#: Size of the map that tells rows without a candidate's key apart.
+BITS = 1 << 22
 
 
 def _texts(parts) -> set[tuple]:
@@ -146,7 +148,10 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tup
     found = candidates(docs, rules, key=key, text=text)
     rows = docs.select(*row_key(key, text), F.struct("*").alias("row") if carry else F.struct(F.col(key), F.col(text)).alias("row"))
     if found is not None:
-        rows = rows.join(materialize(found), ["_k", "_h"], "left")
+        found = materialize(found)
+        marked = _marked(found)
+        met = rows.where(marked).join(found.hint("merge"), ["_k", "_h"], "left")
+        rows = met.unionByName(rows.where(~marked).withColumn("rules", F.lit(None).cast("array<int>")))
     t = F.coalesce(F.col(f"row.{text}"), F.lit(""))
     spans = []
     for i, r in enumerate(rules):
@@ -158,6 +163,20 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tup
     return out if carry else out.select("row.*", "spans")
 
 
+def _marked(found: DataFrame) -> Column:
+    """Whether a row may be a candidate, by a bit map of hashed keys (512 KB): true for all candidates and, by chance, for some others.
+
+    Only these rows meet the candidates by shuffle; the texts of the others stay where they are. A full map costs a shuffle of all, not a match.
+    """
+    spot = F.xxhash64("_k", "_h").bitwiseAND(BITS - 1)
+    at = found.groupBy(F.shiftright(spot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(63).cast("int"))).alias("bits"))
+    table = [0] * (BITS // 64)
+    for r in at.collect():  # a row per word of the map
+        table[r["at"]] = r["bits"]
+    words = F.from_json(F.lit(str(table)), "array<bigint>")
+    return F.getbit(F.element_at(words, F.shiftright(spot, 6).cast("int") + 1), spot.bitwiseAND(63).cast("int")) == 1
+
+
 def _ranked(spans: Column, rank: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
 

@@ -60,3 +60,16 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é token=abcdefghijkl and deadbeefdeadbeef."), (2, "clean"), (3, None), (4, "secret=deadbeefdeadbeefdeadbeef end")], "doc_id long, text string")
     out = secrets.scan(docs).select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t"))
     assert {r["doc_id"]: r["t"] for r in out.collect()} == {1: "é [assign] and [hex].", 2: "clean", 3: None, 4: "[assign] end"}
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    rows = [(i, f"nothing to see in text {i} but deadbeefdeadbeef{i}") for i in range(400)] + [(1000 + i, t) for i, t in enumerate(TRICKY)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = secrets._marked(secrets.candidates(docs, secrets.RULES))
+    keyed = docs.select("doc_id", *secrets.row_key("doc_id", "text")).where(marked)
+    held = {r["doc_id"] for r in keyed.collect()}
+    assert {int(r["_k"]) for r in secrets.candidates(docs, secrets.RULES).collect()} <= held and len(held) < 40
+    out = secrets.scan(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+    assert sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in out.collect()) == sorted((k, brute(t)) for k, t in rows)
