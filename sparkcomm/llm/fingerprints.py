@@ -77,6 +77,15 @@ def _hash(held: Column) -> Column:
     return F.when(F.size(held) == 0, F.lit(NONE)).otherwise(F.substring(F.md5(F.array_join(held, "")), 1, SIZE))
 
 
+def packed(text: Column) -> Column:
+    """A fingerprint in three quarters of its bytes, for exchanges: its characters are read as digits to base 64, whose alphabet has / for -."""
+    return F.unbase64(F.translate(text, "-", "/"))
+
+
+def unpacked(value: Column) -> Column:
+    return F.translate(F.base64(value), "/\r\n", "-")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of the drawings in which some lexicon holds the same terms, one at least, of both texts; 1 for equal fingerprints.
 
@@ -125,10 +134,11 @@ def compare_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     band = lexicon(docs, text=text)
     rows = with_next(docs, key=key, text=text)
     marked = materialize(
-        rows.select("k", "n_chars", "copies", "kk", "h", "next_kk", "next_h", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text"), band).alias("fingerprint"), fingerprint(F.col("edited"), band).alias("edited_fingerprint"))
+        rows.select("k", "n_chars", "copies", "kk", "h", "next_kk", "next_h", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), packed(fingerprint(F.col("text"), band)).alias("fingerprint"), packed(fingerprint(F.col("edited"), band)).alias("edited_fingerprint"))
     )
     after = marked.select(F.col("kk").alias("next_kk"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
-    out = marked.join(after, ["next_kk", "next_h"])
+    out = marked.join(after, ["next_kk", "next_h"]).withColumn("edited_sha256", F.lower(F.hex("edited_sha256")))
+    out = out.withColumns({c: unpacked(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")})
     out = out.select(
         F.col("k").alias(key), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "copies",

@@ -74,3 +74,12 @@ def test_odd_rows(spark):
 def test_edits_are_nearer_than_strangers(spark):
     got = fp.compare_with_edits(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
     assert (got["near_edited"] > got["near_next"]).mean() > 0.9
+
+
+def test_fingerprints_are_packed_without_loss(spark):
+    texts = ["", "a b", "one two three four", "é ü \U0001f600", "x " * 50] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    band = fp.lexicon(docs)
+    rows = docs.select(fp.fingerprint(F.col("text"), band).alias("f")).union(spark.createDataFrame([("------0a1b2c",), (None,)], "f string"))
+    for r in rows.select("f", fp.packed(F.col("f")).alias("p"), fp.unpacked(fp.packed(F.col("f"))).alias("g")).collect():
+        assert r["f"] == r["g"] and (r["f"] is None or len(r["p"]) * 4 == len(r["f"]) * 3)
