@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .lr_table import complex_subunits
 from .ranks import broadcast_within, quantiles, values_at
 
@@ -168,13 +169,21 @@ def group_expression(
     else:
         measured = F.sum("value")
     totals = sizes.select(*cell, F.col("n_cells").alias("n"))
+    if aggregate in ("truncated_mean", "truncatedMean"):
+        # every pass below reads the values with their counts; the cells are joined and exchanged once
+        nz = materialize(nz.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c")))
+        times = F.col("_c")
+        measured = F.sum(F.col("value") * times)
+        seen, positive = F.sum(times), F.sum(F.when(F.col("value") > 0, times).otherwise(0))
+    else:
+        seen, positive = F.count(F.lit(1)), F.count_if(F.col("value") > 0)
     if aggregate in ("median", "tri_mean"):
         # two passes: bucket counts (which also give the detected share), then the wanted buckets
         probs = [0.5] if aggregate == "median" else [0.25, 0.5, 0.75]
         q = quantiles(nz, keys, "value", probs, totals=totals, counts=True)
         expr = F.col("q0") if aggregate == "median" else (F.col("q0") + 2 * F.col("q1") + F.col("q2")) / 4
         return q.select(*keys, expr.alias("expr"), (F.col("n_positive") / F.col("n")).alias("pct"))
-    base = nz.groupBy(*keys).agg(measured.alias("_sum"), F.count(F.lit(1)).alias("_nnz"), F.count_if(F.col("value") > 0).alias("_pos"))
+    base = nz.groupBy(*keys).agg(measured.alias("_sum"), seen.alias("_nnz"), positive.alias("_pos"))
     base = base.join(sizes.select(*cell, "n_cells"), cell)
     mean = F.col("_sum") / F.col("n_cells")
     pct = (F.col("_pos") / F.col("n_cells")).alias("pct")
@@ -189,10 +198,10 @@ def group_expression(
     share = F.floor(F.col("n_cells") * F.lit(float(trim)))
     sized = base.withColumn("_cut", F.when((share > 0) & (F.col("n_cells") - 2 * share > 0), share))
     cut = lambda n: F.floor(n * F.lit(float(trim)))
-    ends = values_at(nz, keys, "value", lambda n: [cut(n), n - cut(n) - 1], totals=totals)
+    ends = values_at(nz, keys, "value", lambda n: [cut(n), n - cut(n) - 1], weight="_c", totals=totals)
     ends = ends.withColumnsRenamed({"q0": "_lo", "q1": "_hi"})
     zeros = base.select(*keys, F.lit(0.0).alias("value"), (F.col("n_cells") - F.col("_nnz")).alias("_n"))
-    counted = nz.select(*keys, "value", F.lit(1).cast("bigint").alias("_n")).unionByName(zeros)
+    counted = nz.select(*keys, "value", F.col("_c").alias("_n")).unionByName(zeros)
     v, n = F.col("value"), F.col("_n")
     inner = (
         counted.join(ends, keys)
