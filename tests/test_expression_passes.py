@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from catalog import roles
 from sparkcomm.operators import expression as ex
 
 
@@ -16,3 +17,13 @@ def test_truncated_mean_reads_the_cells_once(spark, monkeypatch):
         kept = own[n // 10 : n - n // 10]
         assert abs(got[group][0] - sum(kept) / len(kept)) < 1e-9 and abs(got[group][1] - sum(v > 0 for v in own) / n) < 1e-12
     assert written[0].count() == 9 and written[0].agg(F.sum("_c")).first()[0] == nz.count()
+
+
+def test_lines_are_not_sorted_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(roles, "once", lambda spark, sf, name, build, write=True: build())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = roles._expression(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
