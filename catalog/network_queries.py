@@ -32,6 +32,10 @@ def query(name, sql=None):
     return keep
 
 
+def groups(spark, sf):
+    return r.once(spark, sf, "groups", lambda: ex.label_cells(r.cells(spark, sf), "segment").select("group").distinct())
+
+
 def result(spark, sf, **options) -> CommResult:
     """The scored base result, written once and shared."""
     name = f"result {sorted(options.items())}"
@@ -42,8 +46,7 @@ def result(spark, sf, **options) -> CommResult:
         return box["r"].interactions
 
     rows = r.once(spark, sf, name, build)
-    groups = r.once(spark, sf, "groups", lambda: ex.label_cells(r.cells(spark, sf), "segment").select("group").distinct())
-    return CommResult(rows, groups, groupby="segment", pvalue_cutoff=0.2)
+    return CommResult(rows, groups(spark, sf), groupby="segment", pvalue_cutoff=0.2)
 
 
 def tested(spark, sf) -> CommResult:
@@ -294,7 +297,7 @@ def diff_of(spark, sf):
     def side(flag):
         rows = r.once(spark, sf, f"result flag {flag}", lambda: compute_communication(
             r.expression(spark, sf, flag), r.cells(spark, sf), r.lr_table(spark, sf), "segment", genes=r.genes(spark, sf), aggregate="mean", min_expr=13.5, condition=flag, check=False).interactions)
-        return CommResult(rows, result(spark, sf).groups, condition=flag)
+        return CommResult(rows, groups(spark, sf), condition=flag)
 
     return df.compare_communication(side("R"), side("A"), check=False)
 

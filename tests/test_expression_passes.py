@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from catalog import roles
+from catalog import all_queries, roles
 from sparkcomm.operators import expression as ex
 
 
@@ -27,3 +27,11 @@ def test_lines_are_not_sorted_in_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_comparison_scores_two_samples_only(spark, monkeypatch):
+    seen, once = [], roles.once
+    monkeypatch.setattr(roles, "_SEEN", {})
+    monkeypatch.setattr(roles, "once", lambda spark, sf, name, build, write=True: seen.append(name) or once(spark, sf, name, build, write=write))
+    assert all_queries()["i3_differential_network"](spark, "/root/testdata/sf0.001").count() == 25
+    assert "expression R" in seen and "expression A" in seen and "expression None" not in seen
