@@ -284,8 +284,9 @@ def _(spark, sf):
 def _proteins(spark, sf):
     """Sequences for brands and types, by nation of the suppliers that ship them."""
     s = supplies(spark, sf)
-    ends = s.select(F.col("nation").alias("species"), F.trim("source_genesymbol").alias("gene_id"), "qty").union(s.select("nation", "p_type", "qty"))
-    return ends.select("species", "gene_id", F.concat_ws("-", "species", "gene_id").alias("protein_id"), F.upper("gene_id").alias("protein_sequence")).distinct()
+    pairs = s.select(F.col("nation").alias("species"), F.trim("source_genesymbol").alias("gene_id"), "p_type").distinct()  # one pass; names are made for what is left
+    ends = pairs.select("species", "gene_id").union(pairs.select("species", "p_type")).distinct()
+    return ends.select("species", "gene_id", F.concat_ws("-", "species", "gene_id").alias("protein_id"), F.upper("gene_id").alias("protein_sequence"))
 
 
 PROT = "prot AS (SELECT DISTINCT nation AS species, g AS gene_id FROM (SELECT nation, lig AS g, qty FROM sup UNION ALL SELECT nation, rec, qty FROM sup))"

@@ -16,3 +16,13 @@ def test_equal_rows_are_counted_before_they_are_merged(spark, monkeypatch):
         (f"L{i}", 1000, "a;b", "a;b", "", "note", "SEQ", "") for i in range(3)]
     # the minimum and the tokens are told from 6 rows, not 3,000
     assert written[0].count() == 6 and written[0].agg(F.sum("_n")).first()[0] == 3000
+
+
+def test_protein_names_are_made_for_distinct_genes(spark):
+    from catalog import resource_queries
+
+    table = resource_queries._proteins(spark, "/root/testdata/sf0.001")
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Aggregate" in x and "protein_id" in x]
+    rows = table.collect()
+    assert len(rows) == len({(r["species"], r["gene_id"]) for r in rows}) and all(r["protein_id"] == f"{r['species']}-{r['gene_id']}" for r in rows)
