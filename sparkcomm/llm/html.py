@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,13 @@ from sparkcomm.session import materialize
 #: Runs of so many tokens that stand on so many distinct pages of a host are boilerplate.
 RUN, PAGES = 5, 3
 #: Pages of a host that share one suffix array; hosts with more are dealt over several, and their runs are counted by hash.
-SHARD, SHARD_CHARS = 400, 8 << 20
+SHARD, SHARD_CHARS = 2000, 8 << 20
 #: Characters of a host's pages for each block of the hash range in which its windows are counted.
 BLOCK_CHARS = 16 << 20
 #: Bits of a window's hash in its block. A block holds some millions of windows, so two of them rarely agree (1 in 30,000 windows).
 BITS, LOW = np.uint64(36), np.uint64((1 << 36) - 1)
+#: Bits of a window's cell in its block. Cells of the windows are counted first; one window alone in its cell goes no further.
+CELL = 25
 #: Share of a block's tokens that repeated runs must cover.
 COVERED = 0.5
 
@@ -49,6 +52,7 @@ _PART = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDE = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_TIMES = [f"from_{i + 1}" for i in range(PAGES)]
 
 
 @dataclass
@@ -176,28 +180,49 @@ def repeated(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> li
 
     Pages with equal tokens count as one page.
     """
-    distinct = {key: i for i, key in enumerate(dict.fromkeys(map(tuple, streams)))}
-    ids: dict[str, int] = {}
+    return covered_by_runs(*numbered(streams)[:2], run, pages)
+
+
+def covered_by_runs(number: np.ndarray, sizes: np.ndarray, run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
+    """``repeated`` for tokens given as numbers."""
+    streams = np.split(number, np.cumsum(sizes)[:-1]) if len(sizes) else []
+    keys = [s.tobytes() for s in streams]
+    distinct = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+    first = dict(zip(reversed(keys), reversed(streams), strict=True))
     parts, owner = [], []
     for key, i in distinct.items():  # after each page a token of its own
-        parts += [[ids.setdefault(t, len(ids)) for t in key], [-1 - i]]
-        owner += [np.full(len(key) + 1, i)]
-    tokens = np.concatenate([np.asarray(p, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
+        parts += [first[key], np.array([-1 - i])]
+        owner += [np.full(len(first[key]) + 1, i)]
+    tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     covered = np.zeros(len(tokens) + 1, np.int64)
     if len(tokens) > 1:
         page = np.concatenate(owner)
         order, shared = suffix_array(tokens, run)
         interval = np.cumsum(shared < run)
-        seen = np.unique(interval * (len(distinct) + 1) + page[order])
+        seen = np.sort(interval * (len(distinct) + 1) + page[order])
+        seen = seen[np.append(True, seen[1:] != seen[:-1])]
         often = np.bincount(seen // (len(distinct) + 1), minlength=interval[-1] + 1) >= pages
         starts = order[often[interval]]
         covered += np.bincount(starts, minlength=len(covered)) - np.bincount(np.minimum(starts + run, len(tokens)), minlength=len(covered))
     covered = np.cumsum(covered)[:-1] > 0
     at, found = 0, []
     for key in distinct:
-        found.append(covered[at : at + len(key)])
-        at += len(key) + 1
-    return [found[distinct[tuple(s)]] for s in streams]
+        found.append(covered[at : at + len(first[key])])
+        at += len(first[key]) + 1
+    return [found[distinct[key]] for key in keys]
+
+
+class _Numbers(dict):
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        return n
+
+
+def numbered(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The streams' tokens as numbers in a row, the streams' sizes, and the tokens by number."""
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    ids = _Numbers()
+    return np.fromiter(map(ids.__getitem__, chain.from_iterable(streams)), np.int64, sizes.sum()), sizes, list(ids)
 
 
 def codes(streams: list[list[str]], blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,9 +230,11 @@ def codes(streams: list[list[str]], blocks: int) -> tuple[np.ndarray, np.ndarray
 
     A number is one of ``blocks`` blocks by the upper bits of the window's hash, and the hash's lower BITS bits.
     """
-    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
-    ids: dict[str, int] = {}
-    number = np.fromiter((ids.setdefault(t, len(ids)) for s in streams for t in s), np.int64, sizes.sum())
+    return window_codes(*numbered(streams), blocks)
+
+
+def window_codes(number: np.ndarray, sizes: np.ndarray, ids: list[str], blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """``codes`` for tokens given as numbers."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in ids), np.uint64, len(ids))[number]
     ends = np.repeat(np.cumsum(sizes), sizes)
     starts = np.flatnonzero(np.arange(len(h)) + RUN <= ends)
@@ -232,10 +259,11 @@ def chosen(parsed: list[list[Block]], often: np.ndarray | None = None, n_blocks:
     outside the article if the page has one.
     """
     streams = [[t for b in page for t in b.tokens] for page in parsed]
-    found = repeated(streams)
+    number, sizes, ids = numbered(streams)
+    found = covered_by_runs(number, sizes)
     if often is not None and len(often):
-        code, start = codes(streams, n_blocks)
-        start = start[np.isin(code, often)]
+        code, start = window_codes(number, sizes, ids, n_blocks)
+        start = start[_held(code, np.sort(often))]
         n = sum(map(len, streams)) + 1
         edge = np.bincount(start, minlength=n) - np.bincount(start + RUN, minlength=n)
         also = np.split(np.cumsum(edge)[:-1] > 0, np.cumsum([len(x) for x in streams])[:-1])
@@ -264,25 +292,97 @@ def pack(page: list[Block]) -> bytes:
     return zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"))
 
 
+def _lines(packed: bytes) -> list[str]:
+    page = zlib.decompress(packed).decode("utf-8", "surrogatepass")
+    return page.split("\n") if page else []
+
+
 def unpack(packed: bytes) -> list[Block]:
-    lines = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
-    return [Block(x[1:], x[0] in "1357", x[0] in "2367", x[0] in "4567", x[1:].split(" ")) for x in lines if x]
+    return [Block(x[1:], x[0] in "1357", x[0] in "2367", x[0] in "4567", x[1:].split(" ")) for x in _lines(packed)]
 
 
-def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
-    """host, block, shard, entries, pages: windows of the distinct pages of a shard, each PAGES times at most.
+def pack_sorted(values: np.ndarray, bits: int) -> bytes:
+    """Distinct numbers below 2^bits in order: the upper bits as gaps of a bit row, the lower ones side by side (Elias-Fano)."""
+    n = len(values)
+    low = bits - max(n.bit_length() - 1, 0)
+    row = np.zeros(n + (1 << bits - low), np.uint8)
+    row[(values >> low) + np.arange(n)] = 1
+    tails = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, : -(-low // 8)], axis=1, bitorder="little")[:, :low]
+    return n.to_bytes(4, "little") + np.packbits(row).tobytes() + np.packbits(tails).tobytes()
 
-    Windows are sorted, the lower 36 bits as steps; ``pages`` are hashes of the pages that ``entries`` count.
-    """
-    if pdf["shards"].iloc[0] == 1:
-        pdf = pdf.iloc[:0]
+
+def unpack_sorted(packed: bytes, bits: int) -> np.ndarray:
+    n = int.from_bytes(packed[:4], "little")
+    low = bits - max(n.bit_length() - 1, 0)
+    size, raw = n + (1 << bits - low), np.frombuffer(packed, np.uint8, offset=4)
+    high = np.flatnonzero(np.unpackbits(raw[: -(-size // 8)], count=size)) - np.arange(n)
+    tails = np.zeros((n, 64), np.uint8)
+    tails[:, :low] = np.unpackbits(raw[-(-size // 8) :], count=n * low).reshape(n, low)
+    return high << low | np.packbits(tails, axis=1, bitorder="little").view("<i8").reshape(n)
+
+
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Where another value begins."""
+    return np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]
+
+
+def _held(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values stand among others that are in order."""
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), bool)
+
+
+def _windows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Windows of the distinct pages of a shard as numbers, their pages, and the pages' hashes; none for a host of one shard."""
     held: dict[int, list[str]] = {}
-    for page in pdf["page"]:
-        tokens = [t for b in unpack(page) for t in b.tokens]
-        stream = xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
-        held.setdefault(stream, tokens)
+    for page in pdf["page"] if len(pdf) and pdf["shards"].iloc[0] > 1 else ():
+        line = " ".join(x[1:] for x in _lines(page))
+        stream = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+        if stream not in held:
+            held[stream] = line.split(" ") if line else []
     code, start = codes(list(held.values()), pdf["blocks"].iloc[0] if held else 1)
-    page = np.searchsorted(np.cumsum([len(x) for x in held.values()]), start, side="right")
+    return code, np.searchsorted(np.cumsum([len(x) for x in held.values()]), start, side="right"), list(held)
+
+
+def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
+    """host, block, shard, and the cells that windows of at least one, two, ... PAGES distinct pages of the shard fall into."""
+    code, page, held = _windows(pdf)
+    cell = (code >> (BITS - np.uint64(CELL))).astype(np.int64)
+    both = np.sort(cell * max(len(held), 1) + page)
+    cell = both[_new(both)] // max(len(held), 1)  # each page once in a cell
+    at = np.flatnonzero(_new(cell))
+    cell, n = cell[at], np.diff(np.append(at, len(cell)))
+    block = cell >> CELL
+    first = np.flatnonzero(_new(block))
+    rows = [
+        (pdf["host"].iloc[0], block[at], pdf["shard"].iloc[0], *[pack_sorted(own[times > i], CELL) for i in range(PAGES)])
+        for at, own, times in zip(first, np.split(cell & (1 << CELL) - 1, first[1:]), np.split(n, first[1:]), strict=False)
+    ]
+    return pd.DataFrame(rows, columns=["host", "block", "shard", *_TIMES], dtype=object)
+
+
+def _crowded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """host, shard, block, cells: for every shard, its cells in which the windows of PAGES pages or more of the host meet."""
+    own = [unpack_sorted(x, CELL) for x in pdf[_TIMES[0]]]
+    total = np.sort(np.concatenate([*own, *[unpack_sorted(x, CELL) for c in _TIMES[1:] for x in pdf[c]]]))
+    at = np.flatnonzero(_new(total))
+    often = total[at[np.diff(np.append(at, len(total))) >= PAGES]]
+    kept = [(h, s, b, x[_held(x, often)]) for h, s, b, x in zip(pdf["host"], pdf["shard"], pdf["block"], own, strict=True)]
+    return pd.DataFrame([(h, s, b, pack_sorted(x, CELL)) for h, s, b, x in kept if len(x)], columns=["host", "shard", "block", "cells"], dtype=object)
+
+
+def _cut(pdf: pd.DataFrame, crowded: pd.DataFrame | None = None) -> pd.DataFrame:
+    """host, block, shard, entries, pages: windows of the distinct pages of a shard in crowded cells, each PAGES times at most.
+
+    Windows are sorted, the lower 36 bits as steps; ``pages`` are hashes of the pages that ``entries`` count. Without
+    ``crowded`` all windows.
+    """
+    if crowded is not None and not len(crowded):
+        pdf = pdf.iloc[:0]
+    code, page, held = _windows(pdf)
+    if crowded is not None and len(crowded):
+        wanted = np.concatenate([unpack_sorted(x, CELL) | int(b) << CELL for b, x in zip(crowded["block"], crowded["cells"], strict=True)])
+        inside = _held((code >> (BITS - np.uint64(CELL))).astype(np.int64), np.sort(wanted))
+        code, page = code[inside], page[inside]
     order = np.lexsort((page, code))
     code, page = code[order], page[order]
     own = np.append(True, (code[1:] != code[:-1]) | (page[1:] != page[:-1]))[: len(code)]
@@ -292,7 +392,7 @@ def _cut(pdf: pd.DataFrame) -> pd.DataFrame:
     code, page = code[few], page[few]
     block = (code >> BITS).astype(np.int64)
     first = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
-    streams = np.fromiter(held, np.uint64, len(held)).astype("<u4")
+    streams = np.array(held, np.uint64).astype("<u4")
     entries, pages = [], []
     for own, of in zip(np.split(code & LOW, first[1:]), np.split(page, first[1:]), strict=True) if len(first) else ():
         named, number = np.unique(of, return_inverse=True)
@@ -315,7 +415,7 @@ def _entries(packed: bytes, pages: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _repeated_codes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """host, shard, code: windows of a block found on PAGES distinct pages of the host, for every shard that has them."""
+    """host, shard, block, codes: windows of a block found on PAGES distinct pages of the host, for every shard that has them."""
     parts = [_entries(*x) for x in zip(pdf["entries"], pdf["pages"], strict=True)]
     shard = np.repeat(pdf["shard"].to_numpy(), [len(low) for low, _ in parts])
     low, stream = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -324,8 +424,9 @@ def _repeated_codes(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.append(True, a[1:] != a[:-1])
     page = np.append(True, (a[1:] != a[:-1]) | (s[1:] != s[:-1]))
     often = (np.add.reduceat(page.astype(np.int64), np.flatnonzero(new)) >= PAGES)[np.cumsum(new) - 1]
-    found = pd.DataFrame({"shard": shard[often], "code": a[often] | int(pdf["block"].iloc[0]) << int(BITS)}).drop_duplicates()
-    return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(found), dtype=object), "shard": found["shard"].to_numpy(), "code": found["code"].to_numpy()})
+    a, shard = a[often], shard[often]
+    host, block = pdf["host"].iloc[0], pdf["block"].iloc[0]
+    return pd.DataFrame([(host, x, block, pack_sorted(np.unique(a[shard == x]), int(BITS))) for x in np.unique(shard)], columns=["host", "shard", "block", "codes"], dtype=object)
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -334,8 +435,10 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     Null html counts as empty. Pages without a host count as one host. A host with more than SHARD pages or SHARD_CHARS
     characters is dealt over several suffix arrays by a hash of the page, so no task holds a whole large host; the runs its
     pages share across these are found by hashes of windows of RUN tokens, counted over the distinct pages of the host.
-    These go to blocks of the host's hash range packed, some four bytes each, at most PAGES of a window for a shard; only
-    windows that repeat come back. Pages are parsed once and go to their shard as compressed blocks.
+    First every shard sends the cells that its windows fall into to blocks of the host's hash range, one to two bytes each,
+    and gets back those where PAGES pages or more meet. Then windows in such cells go there with their pages, packed, at
+    most PAGES of a window for a shard; only windows that repeat come back. Pages are parsed once and go to their shard as
+    compressed blocks.
     """
     named = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     chars = F.sum(F.coalesce(F.length("html"), F.lit(0)))
@@ -356,12 +459,16 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     kind = {f.name: f.dataType.simpleString() for f in pages.select(key, url).schema}
     dealt = dealt.select(key, url, "host", "shards", "blocks", "shard", "html")
     shipped = dealt.mapInArrow(parse, f"`{key}` {kind[key]}, `{url}` {kind[url]}, host string, shards int, blocks int, shard long, page binary")
-    cut = shipped.groupBy("host", "shard").applyInPandas(_cut, "host string, block long, shard long, entries binary, pages binary")
-    often = cut.groupBy("host", "block").applyInPandas(_repeated_codes, "host string, shard long, code long")
+    dealt_pages = shipped.groupBy("host", "shard")
+    cells = dealt_pages.applyInPandas(_cells, ", ".join(["host string, block long, shard long", *[f"{c} binary" for c in _TIMES]]))
+    crowded = cells.groupBy("host", "block").applyInPandas(_crowded, "host string, shard long, block long, cells binary")
+    cut = dealt_pages.cogroup(crowded.groupBy("host", "shard")).applyInPandas(lambda pdf, near: _cut(pdf, near), "host string, block long, shard long, entries binary, pages binary")
+    often = cut.groupBy("host", "block").applyInPandas(_repeated_codes, "host string, shard long, block long, codes binary")
 
     def run(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        own = found["code"].to_numpy(np.int64).view(np.uint64)
+        own = [(unpack_sorted(x, int(BITS)) | int(b) << int(BITS)).view(np.uint64) for b, x in zip(found["block"], found["codes"], strict=True)]
+        own = np.concatenate(own) if own else None
         texts = chosen([unpack(p) for p in pdf["page"]], own, pdf["blocks"].iloc[0] if len(pdf) else 1)
         return pd.DataFrame({key: pdf[key], url: pdf[url], "text": texts})
 
-    return shipped.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInPandas(run, f"`{key}` {kind[key]}, `{url}` {kind[url]}, text string")
+    return dealt_pages.cogroup(often.groupBy("host", "shard")).applyInPandas(run, f"`{key}` {kind[key]}, `{url}` {kind[url]}, text string")

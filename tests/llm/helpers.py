@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,3 +68,17 @@ def clashing(df):
 
 def rows(df) -> list[tuple]:
     return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def shuffled_bytes(spark, run) -> int:
+    """Bytes that the stages of run() write for exchanges."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup(group := uuid.uuid4().hex, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)

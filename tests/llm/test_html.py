@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from helpers import prose
+from helpers import prose, shuffled_bytes
 
 from sparkcomm.llm import html
 
@@ -108,3 +108,45 @@ def test_packed_pages_and_windows_come_back():
     got = sorted((b << 36 | int(w), int(p)) for b, e, of in zip(cut["block"], cut["entries"], cut["pages"], strict=True) for w, p in zip(*html._entries(e, of), strict=True))
     tokens = [[t for b in html.unpack(p) for t in b.tokens] for p in pages[:3]]
     assert [w for w, _ in got] == sorted(int(w) for t in tokens for w in set(html.codes([t], 5)[0].tolist())) and len({p for _, p in got}) == 3
+
+
+def test_windows_of_one_page_hardly_travel(spark, monkeypatch):
+    """A host over several shards shuffles its packed pages and two bytes or so for a window that stands on one page only."""
+    monkeypatch.setattr(html, "SHARD", 100)
+    rng, foot = random.Random(5), "all rights kept by the makers of this site"
+    bodies = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(800)) for _ in range(400)]
+    pages = [f"<body><div>{b}</div>" + (f"<div>{foot}</div>" if i % 80 == 0 else "") + "</body>" for i, b in enumerate(bodies)]
+    df = spark.createDataFrame([(i, "http://a.x/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {}
+    moved = shuffled_bytes(spark, lambda: got.update((r["page_id"], r["text"]) for r in html.extract(df).collect()))
+    assert got == dict(enumerate(bodies))
+    shipped = sum(len(html.pack(html.blocks(p))) for p in pages)
+    assert moved > shipped and (moved - shipped) / (400 * 796) < 2.5
+
+
+def test_sorted_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for bits in (25, 36):
+        for n in (0, 1, 2, 7, 8, 1000, 70_000):
+            values = np.unique(rng.integers(0, 1 << bits, n))
+            for v in (values, np.append(values[:-1], (1 << bits) - 1) if n else values):
+                packed = html.pack_sorted(v, bits)
+                assert html.unpack_sorted(packed, bits).tolist() == v.tolist()
+                assert len(packed) <= 5 + len(v) * (bits + 3 - np.log2(max(len(v), 1))) / 8 + 2
+
+
+def test_crowded_cells_hold_every_repeated_window():
+    """Cells and their count, shard by shard, leave the windows that PAGES pages share, and few others."""
+    import pandas as pd
+
+    foot = "all rights kept by the makers of this site"
+    texts = [prose(i, 300, 4000) + (f" {foot}" if i % 4 == 0 else "") for i in range(12)]
+    shards = [pd.DataFrame({"host": "h", "shards": 4, "blocks": 2, "shard": i, "page": [html.pack(html.blocks(t)) for t in texts[i::4] + texts[:1]]}) for i in range(4)]
+    cells = pd.concat([html._cells(s) for s in shards])
+    crowded = pd.concat([html._crowded(x) for _, x in cells.groupby("block")])
+    cut = pd.concat([html._cut(s, crowded[crowded["shard"] == i]) for i, s in enumerate(shards)])
+    every = pd.concat([html._cut(s) for s in shards])
+    often = lambda t: {(r.block, c) for _, x in t.groupby("block") for r in html._repeated_codes(x).itertuples() for c in html.unpack_sorted(r.codes, 36)}
+    assert often(cut) == often(every) and len(often(every)) >= len(foot.split()) - 4
+    size = lambda t: sum(len(html._entries(*x)[0]) for x in zip(t["entries"], t["pages"], strict=True))
+    assert size(cut) < size(every)
