@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcomm.llm.common import pack_sorted, unpack_sorted
 from sparkcomm.llm.scoring import mix, pair_hash
 from sparkcomm.session import materialize
 
@@ -301,26 +302,6 @@ def unpack(packed: bytes) -> list[Block]:
     return [Block(x[1:], x[0] in "1357", x[0] in "2367", x[0] in "4567", x[1:].split(" ")) for x in _lines(packed)]
 
 
-def pack_sorted(values: np.ndarray, bits: int) -> bytes:
-    """Distinct numbers below 2^bits in order: the upper bits as gaps of a bit row, the lower ones side by side (Elias-Fano)."""
-    n = len(values)
-    low = bits - max(n.bit_length() - 1, 0)
-    row = np.zeros(n + (1 << bits - low), np.uint8)
-    row[(values >> low) + np.arange(n)] = 1
-    tails = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, : -(-low // 8)], axis=1, bitorder="little")[:, :low]
-    return n.to_bytes(4, "little") + np.packbits(row).tobytes() + np.packbits(tails).tobytes()
-
-
-def unpack_sorted(packed: bytes, bits: int) -> np.ndarray:
-    n = int.from_bytes(packed[:4], "little")
-    low = bits - max(n.bit_length() - 1, 0)
-    size, raw = n + (1 << bits - low), np.frombuffer(packed, np.uint8, offset=4)
-    high = np.flatnonzero(np.unpackbits(raw[: -(-size // 8)], count=size)) - np.arange(n)
-    tails = np.zeros((n, 64), np.uint8)
-    tails[:, :low] = np.unpackbits(raw[-(-size // 8) :], count=n * low).reshape(n, low)
-    return high << low | np.packbits(tails, axis=1, bitorder="little").view("<i8").reshape(n)
-
-
 def _new(ordered: np.ndarray) -> np.ndarray:
     """Where another value begins."""
     return np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]

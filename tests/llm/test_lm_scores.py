@@ -2,7 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
-from helpers import clashing, crc, empty, lower, odd, odd_rows, prose, words
+from helpers import clashing, crc, empty, lower, odd, odd_rows, prose, shuffled_bytes, words
 
 from sparkcomm.llm import scoring
 
@@ -110,3 +110,51 @@ def test_no_ngram_is_lost_beyond_the_filter(spark):
         assert [k for k, _ in got] == [k for k, _ in want]
         assert all(math.isclose(a[1], b[1], rel_tol=far) for a, b in zip(got, want, strict=True)), bound
     assert model.rare_pairs is None and model.low == (1, 1)
+
+
+def test_open_pairs_travel_packed(spark, monkeypatch):
+    """Pairs that the filter has no room for: right scores, for less than 20 bytes a pair over training and scoring."""
+    monkeypatch.setattr(scoring, "MAX_PAIR_BYTES", 0)
+    monkeypatch.setattr(scoring, "BLOCK_TOKENS", 50_000)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 2_000, 3_000)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = {}
+
+    def run():
+        model = scoring.train(docs.where("doc_id % 10 != 0"))
+        assert model.rare_pairs is not None and model.rare_words is None
+        got.update((r["doc_id"], r["score"]) for r in scoring.score(docs, model).collect())
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        moved = shuffled_bytes(spark, run)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = brute_score(texts, [t for i, t in enumerate(texts) if i % 10])
+    assert all(math.isclose(got[i], x, rel_tol=0.1) for i, x in enumerate(want))  # words are read from the filter, too high at times
+    assert moved / (60 * 3_000) < 20
+
+
+def test_lots_and_blocks_of_pairs(spark, monkeypatch):
+    """Exact scores from the tables with many small lots and blocks, null and repeated keys, counts beyond a byte."""
+    monkeypatch.setattr(scoring, "FLUSH", 300)
+    monkeypatch.setattr(scoring, "TEXTS", 5)
+    monkeypatch.setattr(scoring, "BLOCK_TOKENS", 200)
+    table = odd_rows() + [(2**60 + i, prose(i, 100, 900), "en", "a", 0) for i in range(30)] + [(7, "la " * 700, "en", "a", 0)]
+    docs = clashing(spark.createDataFrame(table, odd(spark).schema))
+    train = [r[1] for r in table[5:]]
+    model = scoring.train(spark.createDataFrame([(t,) for t in train], "text string").coalesce(3), max_filter_bytes=0)
+    assert model.blocks > 4
+    got = sorted((str(r["doc_id"]), r["score"]) for r in scoring.score(docs, model).collect())
+    want = sorted((str(r[0]), s) for r, s in zip(table, brute_score([r[1] for r in table], train), strict=True))
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert all(math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_packed_counts_come_back():
+    n = np.array([1, 2, 254, 255, 256, 10**12, 1])
+    assert scoring.unpack_counts(scoring.pack_counts(n), len(n)).tolist() == n.tolist()
+    h = np.unique(np.random.default_rng(4).integers(0, 2**48, 5_000)).astype(np.uint64) << np.uint64(16)
+    for blocks in (1, 2, 64):
+        assert np.concatenate([scoring.undealt(x, blocks, b) for b, _, x in scoring.dealt(h, blocks)]).tolist() == h.tolist()
