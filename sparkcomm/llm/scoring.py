@@ -294,20 +294,21 @@ def train(docs: DataFrame, *, text: str = "text", max_filter_bytes: int = MAX_FI
     return Model(total["n"] or 0, total["v"], words, (h[order], n[order]), bits, (low[0], low[1]), rare_words, rare_pairs, blocks)
 
 
-def _with_rare_words(rows: DataFrame, model: Model, text: str) -> DataFrame:
-    """rows with rare_h, rare_level: the words of each text that the filter has no room for."""
+def _with_rare_words(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (_row, key, text) with rare_h, rare_level: the words of each text that the filter has no room for."""
     shared = rows.sparkSession.sparkContext.broadcast((model.filter.segments, model.filter.bits))
     low = model.low[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Filter(*shared.value).levels
         for batch in batches:
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = np.unique(token_hashes(t))
                 own = own[probe(own) < low]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row)), pa.array(own.view(np.int64))], ["_row", "h"])
 
-    found = rows.select("_row", text).mapInArrow(run, "_row long, h long").join(model.rare_words, "h")
+    rows = rows.repartition("_row")  # this exchange serves both sides of the join below: all columns are read
+    found = rows.mapInArrow(run, "_row long, h long").join(model.rare_words, "h")
     found = found.groupBy("_row").agg(F.collect_list(F.struct("h", "level")).alias("rare"))
     return rows.join(found, "_row", "left").select(*rows.columns, F.col("rare.h").alias("rare_h"), F.col("rare.level").alias("rare_level"))
 
@@ -459,7 +460,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), key, text)
     kind = rows.schema[1].dataType.simpleString()
     if some_rare:
-        rows = _with_rare_words(materialize(rows), model, text)
+        rows = _with_rare_words(rows, model)
     schema = f"_row long, `{key}` {kind}, n_tokens long, n_common long, common_score double, score double, rare array<long>"
     if model.rare_pairs is None:
         scored = rows.mapInArrow(run, schema)

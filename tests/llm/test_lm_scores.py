@@ -158,3 +158,13 @@ def test_packed_counts_come_back():
     h = np.unique(np.random.default_rng(4).integers(0, 2**48, 5_000)).astype(np.uint64) << np.uint64(16)
     for blocks in (1, 2, 64):
         assert np.concatenate([scoring.undealt(x, blocks, b) for b, _, x in scoring.dealt(h, blocks)]).tolist() == h.tolist()
+
+
+def test_texts_are_not_copied_for_rare_words(spark, monkeypatch):
+    """Words beyond the filter: no table with the texts is written."""
+    docs = spark.createDataFrame([(i, prose(i, 100, 900)) for i in range(20)], "doc_id long, text string")
+    model = scoring.train(docs, max_filter_bytes=0)
+    written, write = [], scoring.materialize
+    monkeypatch.setattr(scoring, "materialize", lambda df: (written.append(df.columns), write(df))[1])
+    assert model.rare_words is not None and scoring.score(docs, model).count() == 20
+    assert written and not any("text" in c for c in written)
