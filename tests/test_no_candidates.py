@@ -34,6 +34,10 @@ def test_candidates(spark):
     assert none.count() == 0 and {"candidate_strategy", "embedding_cosine"} <= set(none.columns)
 
 
-@pytest.mark.parametrize("name", ["m6_candidates"])
+@pytest.mark.parametrize("name", ["m6_candidates", "m7_pair_features", "m8_heuristic_scores"])
 def test_query_without_candidates(spark, many_orders, name):
     assert compare(spark, duck(many_orders), many_orders, entry.queries()[name], entry.oracle_sql()[name]).startswith("ok 0 rows")
+
+
+def test_model_scores_without_candidates(spark, many_orders):
+    assert entry.queries()["m9_model_scores"](spark, many_orders).count() == 0
