@@ -57,12 +57,13 @@ def predict_lr_dbfree(
     max_pairs_per_ligand: int | None = None,
     max_pairs_per_receptor: int | None = None,
     allow_low_score_density_fill: bool = False,
+    allow_empty: bool = False,
     **candidate_options: Any,
 ) -> LRTable:
     """Roles, candidates, scores and selection. Embeddings are an input table.
 
     ``model`` and ``role_models`` may be saved folders (or a loaded PairModel and RoleModels). A saved ranker brings its PCA, calibrator and
-    references, and its density prior where ``density_prior`` is "auto".
+    references, and its density prior where ``density_prior`` is "auto". No candidates and no pairs are errors unless ``allow_empty``.
     """
     spark = expression.sparkSession
     if isinstance(model, str) and model != "heuristic":
@@ -89,7 +90,7 @@ def predict_lr_dbfree(
     else:
         roles = predict_protein_roles(proteins, embeddings, models=role_models)
     candidates = ca.generate_lr_candidates(
-        expression, cells, proteins, roles, embeddings=embeddings, genes=genes, ligand_candidates=ligand_candidates, receptor_candidates=receptor_candidates, **candidate_options
+        expression, cells, proteins, roles, embeddings=embeddings, genes=genes, ligand_candidates=ligand_candidates, receptor_candidates=receptor_candidates, allow_empty=allow_empty, **candidate_options
     )
     scored = ca.score_lr_candidates(candidates, embeddings, model=model, pca=pca, calibrator=calibrator, references=references)
     table = ca.build_predicted_lr_table(
@@ -104,6 +105,7 @@ def predict_lr_dbfree(
         allow_low_score_density_fill=allow_low_score_density_fill,
         model_name="heuristic_fixture" if model == "heuristic" else "pair_ranker",
         name=f"dbfree_predicted_{species_name}",
+        allow_empty=allow_empty,
     )
     seen = counts.first()
     notes = []

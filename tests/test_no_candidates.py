@@ -54,3 +54,7 @@ def test_selection_without_pairs(spark):
 
 def test_predicted_lr_without_candidates(spark, many_orders):
     assert entry.queries()["m13_predicted_lr"](spark, many_orders).count() == 0
+
+
+def test_predict_and_select_without_candidates(spark, many_orders):
+    assert entry.queries()["m15_predict_and_select"](spark, many_orders).count() == 0
